@@ -51,3 +51,13 @@ def row_key(*columns: str) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def nested(docs: DataFrame, **made: Column) -> DataFrame:
+    """docs' rows in one column, beside columns that can't clash with theirs."""
+    return docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_in"), *[c.alias(name) for name, c in made.items()])
+
+
+def rows_of(docs: DataFrame) -> list[Column]:
+    """docs' columns, out of nested()'s column."""
+    return [F.col("_in")[c].alias(c) for c in docs.columns]

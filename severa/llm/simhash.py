@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from severa.llm.common import row_key, written
+from severa.llm.common import nested, row_key, rows_of, written
 from severa.llm.components import connected_components
 
 SEED = 42
@@ -138,8 +138,8 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     rank = F.struct(F.col(id_column).isNull().alias("absent"), F.col(id_column).alias("id"), row_key(*docs.columns).alias("key"))
     member = near_duplicates(docs.select(rank.alias("_rank"), F.col(text).alias("_text")), "_rank", "_text", radius, shingle, blocks)
     stays = member.where("_rank = component_id").select(F.col("_rank.key").alias("_key")).distinct()
-    keyed = docs.withColumn("_key", row_key(*docs.columns))
-    return keyed.join(stays, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    keyed = nested(docs, _key=row_key(*docs.columns))
+    return keyed.join(stays, "_key", "left_semi").dropDuplicates(["_key"]).select(*rows_of(docs))
 
 
 def hexadecimal(column: str) -> Column:
