@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from severa.llm import decontaminate, langid, mixing, pii, simhash
+from severa.llm import decontaminate, langid, mixing, pii, quality, simhash
 from severa.llm.common import table
 
 
@@ -25,12 +25,16 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("score")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_mixing, op3_language, op6_pii, op10_decontamination)}
+    return {f.__name__: f for f in (op1_simhash, op2_mixing, op3_language, op6_pii, op7_quality, op10_decontamination)}
 
 
 OP10 = r"""
