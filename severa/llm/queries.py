@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from severa.llm import decontaminate, langid, mixing, pii, quality, simhash
+from severa.llm import decontaminate, langid, mixing, pii, quality, simhash, warc
 from severa.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read(*warc.archive(table(spark, sf_dir, "pages"))).drop("payload")
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -34,7 +38,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_mixing, op3_language, op6_pii, op7_quality, op10_decontamination)}
+    return {f.__name__: f for f in (op1_simhash, op2_mixing, op3_language, op4_warc, op6_pii, op7_quality, op10_decontamination)}
 
 
 OP10 = r"""
@@ -62,5 +66,15 @@ FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+OP4 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+m AS (SELECT b, max(page_id) AS top, count(*) AS n FROM p WHERE octet_length(b) >= 1000 GROUP BY b)
+SELECT p.page_id, CAST(octet_length(p.b) AS BIGINT) AS payload_bytes, sha1(p.b) AS payload_digest,
+       CASE WHEN n > 1 AND top IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n > 1 AND top IS DISTINCT FROM page_id THEN top END AS refers_to
+FROM p LEFT JOIN m ON p.b = m.b
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_decontamination": OP10}
+    return {"op4_warc": OP4, "op10_decontamination": OP10}
