@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from severa.llm import decontaminate, langid, mixing, pii, quality, simhash, warc
+from severa.llm import decontaminate, langid, mixing, pii, quality, simhash, urls, warc
 from severa.llm.common import table
 
 
+RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hexadecimal("fingerprint").alias("fingerprint"), "component_id")
@@ -25,6 +28,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(*warc.archive(table(spark, sf_dir, "pages"))).drop("payload")
 
 
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), RULES)
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -38,7 +45,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_mixing, op3_language, op4_warc, op6_pii, op7_quality, op10_decontamination)}
+    return {f.__name__: f for f in (op1_simhash, op2_mixing, op3_language, op4_warc, op5_urls, op6_pii, op7_quality, op10_decontamination)}
 
 
 OP10 = r"""
