@@ -43,7 +43,7 @@ def _codes(data: bytes) -> np.ndarray:
     keep[1:] |= blank[1:] & ~blank[:-1]
     out = np.full(int(keep.sum()) + 2, 32, np.uint32)
     out[1:-1] = low[keep]
-    return out
+    return out[:-1] if out[-2] == 32 else out
 
 
 def _buckets(codes: np.ndarray, at: int = 0, upto: int | None = None) -> np.ndarray:

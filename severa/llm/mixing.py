@@ -51,7 +51,7 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
 def _size_class(size: Column) -> Column:
     """Eight classes an octave, in order of size: the number's bit length, then its three bits below the first."""
     bits = F.length(F.bin(size))
-    return F.when(size < 16, size).otherwise(bits * 8 + F.shiftright(size, (bits - 4).cast("int")) % 8).cast("int")
+    return F.when(size < 16, size).otherwise(bits * 8 + F.call_function("shiftright", size, (bits - 4).cast("int")) % 8).cast("int")
 
 
 def copies(docs: DataFrame, size: str, id_column: str = "doc_id", source: str = "source", seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
