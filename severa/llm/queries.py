@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from severa.llm import decontaminate, langid, mixing, pii, quality, simhash, urls, warc
+from severa.llm import chat, decontaminate, langid, mixing, pii, quality, simhash, tokens, urls, warc
 from severa.llm.common import table
 
 
@@ -40,12 +41,20 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("score")
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link(table(spark, sf_dir, "conversations")).withColumn("faults", F.array_join("faults", "; "))
+
+
+def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count(table(spark, sf_dir, "documents")).select("doc_id", "n_tokens")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_mixing, op3_language, op4_warc, op5_urls, op6_pii, op7_quality, op10_decontamination)}
+    return {f.__name__: f for f in (op1_simhash, op2_mixing, op3_language, op4_warc, op5_urls, op6_pii, op7_quality, op8_chat, op9_tokens, op10_decontamination)}
 
 
 OP10 = r"""
