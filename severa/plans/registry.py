@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from severa.plans import graph_queries
+from severa.plans import graph_queries, import_queries, run_queries
 
-MODULES = (graph_queries,)
+MODULES = (graph_queries, import_queries, run_queries)
 
 
 def queries() -> dict:

@@ -1 +1 @@
-
+"""Readers, writers and generators of graph instances."""
