@@ -53,7 +53,8 @@ def summary(raw: DataFrame) -> DataFrame:
 
 
 def _pm(c: str, places: int) -> Column:
-    mean, std = F.format_string(f"%.{places}f", f"{c}_mean"), F.format_string(f"%.{places}f", f"{c}_std")
+    # halves go to the even digit
+    mean, std = (F.format_string(f"%.{places}f", F.bround(f"{c}_{x}", places)) for x in ("mean", "std"))
     return F.when(F.col(f"{c}_mean").isNull(), "–").when(F.col(f"{c}_std").isNull(), mean).otherwise(F.concat(mean, F.lit(" ± "), std))
 
 

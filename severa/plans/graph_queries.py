@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from severa.functions.durable import written
 from severa.operators import instance as inst
-from severa.operators import reach
+from severa.operators import reach, reduction
 from severa.plans import derived
 from severa.plans.derived import sql
 
@@ -243,16 +243,10 @@ r0 AS (SELECT sum(weight * value) AS risk FROM tr JOIN ent ON tr.node = ent.node
 gain AS (SELECT edge_id, r0.risk - coalesce(after.risk, 0) AS gain FROM cand CROSS JOIN r0 LEFT JOIN after ON cand = edge_id)"""
 
 
-def candidates(g: inst.Indexed) -> DataFrame:
-    forward = reach.reach(g.entries(), g.edges).select(F.col("node_id").alias("src"))
-    backward = reach.reach(g.targets(), g.edges, backward=True).select(F.col("node_id").alias("dst"))
-    return g.edges.where("deletable").join(forward, "src", "left_semi").join(backward, "dst", "left_semi").select("edge_id")
-
-
 @query(sql() + CANDIDATES + " SELECT edge_id, gain FROM gain")
 def gr09_gains_by_scenarios(spark, d):
-    g = graph(spark, d)
-    return reach.scenario_gains(g, written(candidates(g), "candidates"))
+    g = reduction.prune(graph(spark, d))
+    return reach.scenario_gains(g, g.edges.where("deletable").select("edge_id"))
 
 
 @query(" UNION ".join(["SELECT DISTINCT * FROM (" + sql() + " SELECT edge_id FROM iedges WHERE deletable AND edge_id % 3 = 0)", "SELECT DISTINCT * FROM (" + sql() + " SELECT edge_id FROM iedges WHERE deletable AND edge_id % 5 = 0)"]))

@@ -194,11 +194,11 @@ def _grouped(raw):
 
 
 def _rounded(df):
-    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[F.round(c, 11).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def _sql_rounded(columns: str, exact: str) -> str:
-    return ", ".join(exact.split() + [f"round({c}, 6) AS {c}" for c in columns.split()])
+    return ", ".join(exact.split() + [f"round({c}, 11) AS {c}" for c in columns.split()])
 
 
 @query(RAW + 'SELECT DISTINCT dataset, "group", seed FROM gaps')
@@ -246,19 +246,19 @@ def set01_concatenated_results(spark, d):
     return report.concatenated(raw.where("alg = 'A'").select("dataset", "alg", "budget"), raw.where("alg = 'D'").select("dataset", "alg", "budget", F.col("red_n").alias("extra")))
 
 
-@query(RAW + 'SELECT "group", alg, ' + _sql_rounded("budget_frac", "") + ", round(risk_ratio_mean, 6) AS y, round(risk_ratio_std, 6) AS err, round(n_mean, 6) AS n_mean FROM summ")
+@query(RAW + 'SELECT "group", alg, ' + _sql_rounded("budget_frac", "") + ", round(risk_ratio_mean, 11) AS y, round(risk_ratio_std, 11) AS err, round(n_mean, 11) AS n_mean FROM summ")
 def snk04_plot_risk(spark, d):
     return _rounded(report.plot_risk(report.summary(_grouped(raw_results(spark, d)))))
 
 
 @query(RAW + """, h AS (SELECT "group", count(gap_opt_mean) > 0 AS has FROM summ WHERE alg NOT IN ('LB', 'C') GROUP BY "group")
-SELECT "group", alg, budget_frac, CASE WHEN has THEN 'gap_opt' ELSE 'gap_lb' END AS metric, round(CASE WHEN has THEN gap_opt_mean ELSE gap_lb_mean END, 6) AS y, round(CASE WHEN has THEN gap_opt_std ELSE gap_lb_std END, 6) AS err
+SELECT "group", alg, budget_frac, CASE WHEN has THEN 'gap_opt' ELSE 'gap_lb' END AS metric, round(CASE WHEN has THEN gap_opt_mean ELSE gap_lb_mean END, 11) AS y, round(CASE WHEN has THEN gap_opt_std ELSE gap_lb_std END, 11) AS err
 FROM summ JOIN h USING ("group") WHERE alg NOT IN ('LB', 'C')""")
 def snk04_plot_gap(spark, d):
     return _rounded(report.plot_gap(report.summary(_grouped(raw_results(spark, d)))))
 
 
-@query(RAW + 'SELECT alg, "group", round(n_mean, 6) AS n_mean, round(time_mean, 6) AS y, round(coalesce(time_std, 0), 6) AS err FROM summ WHERE budget_frac = 0.5 AND alg <> \'LB\'')
+@query(RAW + 'SELECT alg, "group", round(n_mean, 11) AS n_mean, round(time_mean, 11) AS y, round(coalesce(time_std, 0), 11) AS err FROM summ WHERE budget_frac = 0.5 AND alg <> \'LB\'')
 def snk04_plot_time(spark, d):
     return _rounded(report.plot_time(report.summary(_grouped(raw_results(spark, d))), 0.5))
 
