@@ -9,8 +9,9 @@ from severa.llm.common import nested, rows_of, small, written
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
-#: Rows that one window of the prefix sum holds, about; larger groups of a source and size class are cut by hash.
-SLICE_ROWS = 20_000
+#: Rows that one window of the prefix sum holds, about: twice the square root of all rows, and so many at least. There
+#: are then no more slices than a slice has rows, and either level of the prefix sum stays small.
+SLICE_ROWS = 500
 
 
 def n_words(text: Column) -> Column:
@@ -61,7 +62,7 @@ def copies(docs: DataFrame, size: str, id_column: str = "doc_id", source: str =
     offset drawn once for the source, crosses as many integers as the document has copies, at most `most`. Documents
     stand in order of size class and hash, so that each class is taken in proportion. The prefix sum has two levels:
     a document's place in its slice, and the documents before its slice. Slices depend on the counts and on the row
-    alone, hold about SLICE_ROWS rows, and a lost executor finds the same again.
+    alone, hold about as many rows as there are slices, and a lost executor finds the same again.
     The offset and the order come from md5 of seed, source and id: reruns agree.
     """
     drawn = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_column).cast("string"), F.lit("null"))).cast("binary"))
@@ -71,7 +72,8 @@ def copies(docs: DataFrame, size: str, id_column: str = "doc_id", source: str =
     classes = written(df.groupBy("source", "_class").agg(F.count("*").alias("rows"), F.sum("size").alias("size")), "classes")
     told = targets(classes.groupBy("source").agg(F.sum("size").alias("size"), F.sum("rows").alias("rows")).select("source", "size"), weights, most)
     told = written(told, "targets")
-    slices = F.greatest(F.lit(1), F.ceil(F.col("rows") / SLICE_ROWS)).cast("long")
+    rows = classes.agg(F.sum("rows")).first()[0] or 0
+    slices = F.greatest(F.lit(1), F.ceil(F.col("rows") / max(SLICE_ROWS, int(2 * rows**0.5)))).cast("long")
     plan = told.alias("t").join(classes.alias("c"), F.col("t.source").eqNullSafe(F.col("c.source")))
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:source:"), F.coalesce(F.col("t.source"), F.lit("null"))).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     plan = written(plan.select(F.col("t.source").alias("of"), F.col("c._class").alias("of_class"), slices.alias("slices"), "source_size", "target", offset.alias("offset"), "rank"), "plan")
