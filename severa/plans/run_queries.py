@@ -101,8 +101,8 @@ def _instances(spark, d):
     return written(a.union(runs.packed(pruned(spark, d, cyclic=True), "cyclic_s2")), "packed")
 
 
-def _removed(spark, d, alg):
-    told = runs.run(_instances(spark, d), (alg,), (0.25,), bound=False, seconds=20.0)
+def _removed(spark, d, alg, frac=0.25):
+    told = runs.run(_instances(spark, d), (alg,), (frac,), bound=False, seconds=20.0)
     return told.select("dataset", "budget", "cost", "risk0", "risk", "reach_pair_frac", "mean_dist", "status")
 
 
@@ -129,7 +129,7 @@ def alg_c_exact(spark, d):
 
 @query()
 def alg_d_gr17_hub_cut(spark, d):
-    return _removed(spark, d, "D")
+    return _removed(spark, d, "D", 0.05)
 
 
 @query()

@@ -1 +1 @@
-
+"""The engine works on snapshots; there are no streaming operators."""
