@@ -504,6 +504,7 @@ def lp_bound(net: Net, budget: int, there: np.ndarray | None = None, steps: int
     z[: len(price)] = 0.0
     mean_z, mean_d, mean_q, n = z * 0, d * 0, 0.0, 0
     best, best_z = -np.inf, z
+    marked, marked_at = -np.inf, 0
 
     def bound(d, q):
         return float(constant - d @ b - q * money + np.minimum(0.0, c + transposed(d, q)).sum())
@@ -519,6 +520,10 @@ def lp_bound(net: Net, budget: int, there: np.ndarray | None = None, steps: int
             for dd, qq, zz in ((d, q, z), (mean_d / n, mean_q / n, mean_z / n)):
                 if (got := bound(dd, qq)) > best:
                     best, best_z = got, zz.copy()
+            if best > marked + 1e-3 * max(1.0, abs(marked)):
+                marked, marked_at = best, step
+            elif step - marked_at >= 6 * check:  # it hardly moves; any bound so far holds
+                break
             if n >= 10 * check:  # the averages start anew
                 mean_z, mean_d, mean_q, n = mean_z * 0, mean_d * 0, 0.0, 0
     fractions = np.zeros(net.m)
