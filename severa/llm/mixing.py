@@ -9,9 +9,9 @@ from severa.llm.common import nested, rows_of, small, written
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
-#: Rows that one window of the prefix sum holds, about: twice the square root of all rows, and so many at least. There
-#: are then no more slices than a slice has rows, and either level of the prefix sum stays small.
-SLICE_ROWS = 500
+#: Rows that one window of the prefix sum holds, about: the square root of all rows, and so many at least. There are
+#: then about as many slices as a slice has rows, and either level of the prefix sum stays small.
+SLICE_ROWS = 200
 
 
 def n_words(text: Column) -> Column:
@@ -73,7 +73,7 @@ def copies(docs: DataFrame, size: str, id_column: str = "doc_id", source: str =
     told = targets(classes.groupBy("source").agg(F.sum("size").alias("size"), F.sum("rows").alias("rows")).select("source", "size"), weights, most)
     told = written(told, "targets")
     rows = classes.agg(F.sum("rows")).first()[0] or 0
-    slices = F.greatest(F.lit(1), F.ceil(F.col("rows") / max(SLICE_ROWS, int(2 * rows**0.5)))).cast("long")
+    slices = F.greatest(F.lit(1), F.ceil(F.col("rows") / max(SLICE_ROWS, int(rows**0.5)))).cast("long")
     plan = told.alias("t").join(classes.alias("c"), F.col("t.source").eqNullSafe(F.col("c.source")))
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:source:"), F.coalesce(F.col("t.source"), F.lit("null"))).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     plan = written(plan.select(F.col("t.source").alias("of"), F.col("c._class").alias("of_class"), slices.alias("slices"), "source_size", "target", offset.alias("offset"), "rank"), "plan")

@@ -56,7 +56,7 @@ def rows(n=900):
     return [(i, "w " * (3 + i * 7919 % 97), ["a", "b", "é", None, "B"][min(4, i % 7)]) for i in range(n)]
 
 
-@pytest.mark.parametrize("slice_rows", [500, 5])
+@pytest.mark.parametrize("slice_rows", [200, 5])
 def test_targets_and_copies(spark, monkeypatch, slice_rows):
     monkeypatch.setattr(mixing, "SLICE_ROWS", slice_rows)
     docs = rows() + [(5000, None, "a"), (5001, "", "z"), (5002, None, "zz"), (None, "some words", "a"), (3, "w w", "a"), (3, "w w", "a"), (6000, "w " * 20000, "b")]
@@ -70,7 +70,7 @@ def test_targets_and_copies(spark, monkeypatch, slice_rows):
 def test_slices_do_not_change_the_order(spark, monkeypatch):
     key = lambda r: (r.doc_id, r.taken)
     want = sorted(map(key, mixing.report(frame(spark, rows())).collect()))
-    monkeypatch.setattr(mixing, "SLICE_ROWS", 3)  # rounds up to twice the root, 60 of 900
+    monkeypatch.setattr(mixing, "SLICE_ROWS", 3)  # the root of 900 rows, 30, is more
     assert sorted(map(key, mixing.report(frame(spark, rows())).collect())) == want
 
 
