@@ -111,10 +111,16 @@ def uncuttable(graph: Indexed, sinks: DataFrame) -> DataFrame:
 
 
 def relevant(graph: Indexed) -> DataFrame:
-    """node_id of nodes on a way from an entry to a target."""
-    forward = reach(graph.entries(), graph.edges)
-    backward = reach(graph.targets(), graph.edges, backward=True)
-    return forward.select("node_id").join(backward, "node_id", "left_semi")
+    """node_id of nodes on a way from an entry to a target.
+
+    Both directions share the rounds of one loop: 2 id stands for a node as entries reach it, 2 id + 1 for a node as
+    targets are reached from it.
+    """
+    e, zero = graph.edges, F.lit(0).cast("long")
+    ways = e.select("edge_id", (F.col("src") * 2).alias("src"), (F.col("dst") * 2).alias("dst")).union(e.select("edge_id", F.col("dst") * 2 + 1, F.col("src") * 2 + 1))
+    seed = graph.entries().select((F.col("node_id") * 2).alias("node")).union(graph.targets().select(F.col("node_id") * 2 + 1))
+    state = expand(seed.select(zero.alias("scenario"), zero.alias("target"), "node"), ways)
+    return state.groupBy(F.shiftright("node", 1).alias("node_id")).agg(F.count("*").alias("n")).where("n = 2").select("node_id")
 
 
 def scenario_gains(graph: Indexed, candidates: DataFrame) -> DataFrame:
