@@ -92,5 +92,33 @@ FROM p LEFT JOIN m ON p.b = m.b
 """
 
 
+OP2 = r"""
+WITH s AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS drawn
+  FROM documents),
+src AS (SELECT source, CAST(sum(size) AS BIGINT) AS ss FROM s GROUP BY source),
+ranked AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) AS rank FROM src),
+weighed AS (SELECT *, [5, 2, 1][(rank - 1) % 3 + 1] AS w FROM ranked),
+step AS (
+  SELECT *, sum(ss) OVER () AS total, sum(w) OVER () AS ws,
+    coalesce(sum(ss) OVER (ORDER BY ss / w, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_size,
+    coalesce(sum(w) OVER (ORDER BY ss / w, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_weight
+  FROM weighed),
+each_ AS (SELECT *, CAST(total - 3 * full_size AS DOUBLE) / CAST(ws - full_weight AS DOUBLE) AS each FROM step),
+lvl AS (SELECT each AS level FROM each_ WHERE each * w <= 3 * ss ORDER BY ss / w, rank LIMIT 1),
+t AS (
+  SELECT source, ss, rank, coalesce(least(level * w, CAST(3 * ss AS DOUBLE)), 0.0) AS target,
+    CAST('0x' || substr(md5('mix:source:' || coalesce(source, 'null')), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u
+  FROM each_ LEFT JOIN lvl ON true),
+placed AS (
+  SELECT s.doc_id, s.size, t.ss, t.target, t.u, CASE WHEN t.ss > 0 THEN t.target / CAST(t.ss AS DOUBLE) ELSE 0.0 END AS rate,
+    row_number() OVER (PARTITION BY t.rank ORDER BY CASE WHEN s.size < 16 THEN s.size ELSE length(bin(s.size)) * 8 + (s.size >> CAST(length(bin(s.size)) - 4 AS BIGINT)) % 8 END, s.drawn) AS place
+  FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, ss AS source_size, target,
+  size * CAST(floor(rate * CAST(place AS DOUBLE) + u) - floor(rate * CAST(place - 1 AS DOUBLE) + u) AS BIGINT) AS taken
+FROM placed
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": OP4, "op10_decontamination": OP10}
+    return {"op2_mixing": OP2, "op4_warc": OP4, "op10_decontamination": OP10}
