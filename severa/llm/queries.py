@@ -120,5 +120,42 @@ FROM placed
 """
 
 
+_KINDS = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
+    ("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"),
+    ("card", r"[0-9](?:[\x20-]?[0-9])+"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
+    ("iban", r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}"),
+    ("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}"),
+)
+OP6 = (
+    "WITH t AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS id FROM documents), m AS ("
+    + " UNION ALL ".join(f"SELECT id, t, '{kind}' AS kind, {i} AS ord, regexp_extract_all(t, '{p}') AS ms, string_split_regex(t, '{p}') AS ps FROM t" for i, (kind, p) in enumerate(_KINDS))
+    + r"""),
+x AS (
+  SELECT id, t, kind, ord, ms[i] AS x, CAST(list_sum([length(p) for p in ps[1:i]]) + coalesce(list_sum([length(y) for y in ms[1:i - 1]]), 0) AS BIGINT) AS st
+  FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM m WHERE len(ms) > 0)),
+d AS (SELECT *, st + length(x) AS en, regexp_replace(x, '[^0-9]', '', 'g') AS digits, CASE WHEN st > 0 THEN substr(t, st, 1) ELSE '' END AS before, substr(t, st + length(x) + 1, 1) AS after,
+    lower(substr(t, greatest(st - 40, 0) + 1, st - greatest(st - 40, 0)) || ' ' || substr(t, st + length(x) + 1, 40)) AS near FROM x),
+ok AS (SELECT * FROM d WHERE CASE kind
+  WHEN 'email' THEN true
+  WHEN 'ip' THEN NOT list_contains([length(ltrim(p, '0')) <= 3 AND coalesce(try_cast(substr(ltrim(p, '0'), 1, 3) AS INT), 0) <= 255 for p in string_split(x, '.')], false)
+  WHEN 'card' THEN length(digits) BETWEEN 12 AND 19 AND list_sum([
+    CASE WHEN (length(digits) - k) % 2 = 0 THEN CAST(substr(digits, k, 1) AS INT) WHEN CAST(substr(digits, k, 1) AS INT) > 4 THEN CAST(substr(digits, k, 1) AS INT) * 2 - 9 ELSE CAST(substr(digits, k, 1) AS INT) * 2 END
+    for k in range(1, length(digits) + 1)]) % 10 = 0
+  WHEN 'phone' THEN length(digits) BETWEEN 9 AND 15
+  WHEN 'iban' THEN NOT regexp_matches(before || after, '[A-Za-z0-9]') AND list_reduce([CAST(CASE WHEN c >= 'A' THEN ascii(c) - 55 ELSE ascii(c) - 48 END AS BIGINT) for c in string_split(substr(x, 5) || substr(x, 1, 4), '')],
+    lambda a, v: (a * (CASE WHEN v > 9 THEN 100 ELSE 10 END) + v) % 97) = 1
+  ELSE NOT regexp_matches(before || after, '[0-9-]') AND regexp_matches(near, '(?:^|[^a-z])(?:ssn|social security|tax id)') END),
+g AS (
+  SELECT id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+    string_agg(kind || ':' || st || ':' || en, ',' ORDER BY st, ord) FILTER (ord < 4) AS base, string_agg(kind || ':' || st || ':' || en, ',' ORDER BY st, ord) AS spans
+  FROM ok GROUP BY id)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN g USING (id)
+"""
+)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": OP2, "op4_warc": OP4, "op10_decontamination": OP10}
+    return {"op2_mixing": OP2, "op6_pii": OP6, "op4_warc": OP4, "op10_decontamination": OP10}
