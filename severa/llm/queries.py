@@ -157,5 +157,18 @@ FROM t LEFT JOIN g USING (id)
 )
 
 
+#: The tables hold no explicit tool calls, so these are messages, and requests with their replies.
+OP8 = """
+SELECT conv_id, turn, 'message' AS kind, NULL::VARCHAR AS call, true AS linked, 0 AS level, '' AS faults, CAST(to_json({'content': text, 'role': role}) AS VARCHAR) AS json FROM conversations
+UNION ALL
+SELECT conv_id, turn, 'call', 'turn:' || turn, EXISTS (SELECT 1 FROM conversations a WHERE a.conv_id = c.conv_id AND a.role = 'assistant' AND a.turn = c.turn + 1), 0, '',
+       CAST(to_json({'arguments': CAST(to_json({'prompt': text}) AS VARCHAR), 'id': 'turn:' || turn, 'name': 'reply'}) AS VARCHAR) FROM conversations c WHERE role = 'user'
+UNION ALL
+SELECT conv_id, turn, 'result', 'turn:' || (turn - 1), EXISTS (SELECT 1 FROM conversations a WHERE a.conv_id = c.conv_id AND a.role = 'user' AND a.turn = c.turn - 1),
+       CASE WHEN EXISTS (SELECT 1 FROM conversations a WHERE a.conv_id = c.conv_id AND a.role = 'user' AND a.turn = c.turn - 1) THEN 0 END, '',
+       CAST(to_json({'content': text, 'tool_call_id': 'turn:' || (turn - 1)}) AS VARCHAR) FROM conversations c WHERE role = 'assistant'
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": OP2, "op6_pii": OP6, "op4_warc": OP4, "op10_decontamination": OP10}
+    return {"op2_mixing": OP2, "op6_pii": OP6, "op8_chat": OP8, "op4_warc": OP4, "op10_decontamination": OP10}
