@@ -1,4 +1,4 @@
-"""Connected components by min-label propagation with pointer jumping, on written tables only."""
+"""Connected components by alternating large and small stars, on written tables only."""
 
 from __future__ import annotations
 
@@ -8,29 +8,32 @@ from pyspark.sql import functions as F
 from severa.llm.common import written
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """edges (a, b) of any orderable type -> (node, root), root the smallest node of node's component.
 
-    Only nodes of edges come back. Each round sends every node's label along its edges (minima combine before
-    the shuffle) and then replaces each label by its label's label, so chains halve. Both sides of each join
-    are written tables, so that a star's centre is a skewed join that Spark can split. Nothing is collected
-    but one count a round. No edges: no rows.
+    Only nodes of edges come back. Links point from a node to a smaller one, its parent. Each round replaces every
+    parent by its own smallest parent (large star) and then links a node's parents, roots too, to the smallest of them
+    (small star), so that also roots are hooked and rounds grow with the logarithm of a chain's length; it ends when
+    every node has one parent, which has none. Links never outnumber edges. Both sides of each join are written tables,
+    so that a star's centre is a skewed join that Spark can split. Nothing is collected but whether a row is left. No
+    edges: no rows.
     """
-    both = written(
-        edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(),
-        "edges",
-    )
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")), "labels")
-    for _ in range(max_rounds):
-        # what a node's label itself is labelled
-        up = labels.select(F.col("node").alias("at"), F.col("root").alias("up"))
-        sent = both.join(labels, both["a"] == labels["node"]).select(F.col("b").alias("node"), "root")
-        nearest = sent.union(labels.select("node", "root")).groupBy("node").agg(F.min("root").alias("root"))
-        nearest = written(nearest, "nearest")
-        after = nearest.join(up, nearest["root"] == up["at"], "left").select("node", F.least("root", F.coalesce("up", "root")).alias("root"))
-        after = written(after, "labels")
-        moved = after.join(labels.withColumnRenamed("root", "was"), "node").where("root <> was").limit(1).count()
-        labels = after
-        if not moved:
-            return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    parents = written(edges.where("a <> b").select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("parent")).distinct(), "edges")
+    while True:
+        least = written(_least(parents), "least")
+        tops = least.select(F.col("node").alias("at"), "root")
+        several = least.where("root <> most").select("node")
+        deep = parents.join(tops, parents["parent"] == tops["at"], "left_semi").select("node")
+        if several.isEmpty() and deep.isEmpty():
+            break
+        large = parents.join(tops, parents["parent"] == tops["at"], "left").select("node", F.coalesce("root", "parent").alias("parent"))
+        large = written(large.distinct(), "large")
+        least = written(_least(large).select("node", "root"), "least")
+        hooked = large.join(least, "node").where("parent <> root").select(F.col("parent").alias("node"), F.col("root").alias("parent"))
+        parents = written(hooked.union(least).distinct(), "small")
+    return least.select("node", "root").union(least.select("root", "root").distinct())
+
+
+def _least(parents: DataFrame) -> DataFrame:
+    """A node's smallest and largest parent."""
+    return parents.groupBy("node").agg(F.min("parent").alias("root"), F.max("parent").alias("most"))

@@ -76,6 +76,14 @@ def test_components_of_a_chain(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
+def test_components_of_long_chains(spark):
+    names = list(range(2000))
+    random.Random(3).shuffle(names)
+    edges = list(zip(names, names[1:])) + [(5000 + i, 5001 + i) for i in range(700)]
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(2000)}, **{5000 + i: 5000 for i in range(701)}}
+
+
 def test_edge_rows(spark):
     long = "word " * 20000
     rows = [(3, None, 1), (2, "", 1), (None, " ", 1), (7, "Some text of a few words", 1), (7, "Some text of a few words", 1), (9, "some TEXT of a few words", 2), (5, long, 3), (None, "alone here today with nobody", 1)]
