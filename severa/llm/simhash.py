@@ -91,8 +91,8 @@ def links(prints: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
     Every fingerprint emits its ball: all variants within 1 bit and, for radius 3, those of even parity also all
     variants with 2 changed bits in one half. Two fingerprints at distance 1 or 2 meet at distance 1 from each.
     At distance 3 their parities differ, two of the three bits lie in one half, and the even one meets the odd one
-    there. In a variant's bucket all members are linked to the smallest that is within 1 bit of the variant: at
-    most 3 bits apart, which is verified. A bucket of n gives n - 1 links, never all pairs, and no link is lost:
+    there. In a variant's bucket all members are linked to the smallest that is within 1 bit of the variant (for
+    radius 1, to the variant's own fingerprint): at most 3 bits apart, which is verified. A bucket of n gives n - 1 links, never all pairs, and no link is lost:
     two members within radius that meet in a bucket are connected through its centre.
     """
     if not 1 <= radius <= 3:
@@ -104,7 +104,7 @@ def links(prints: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
     emitted = crowd.select("fingerprint", F.explode(F.when(odd, _longs(near)).otherwise(_longs(near + far))).alias("mask")).select(
         "fingerprint",
         F.expr("fingerprint ^ mask").alias("variant"),
-        F.expr("case when bit_count(mask) <= 1 then fingerprint end").alias("inner"),
+        F.expr(f"case when bit_count(mask) <= {min(radius - 1, 1)} then fingerprint end").alias("inner"),
     )
     centre = F.min("inner").over(Window.partitionBy("variant"))
     pairs = emitted.select(F.col("fingerprint").alias("a"), centre.alias("b")).where(f"a <> b and bit_count(a ^ b) <= {radius}")

@@ -84,6 +84,20 @@ def test_components_of_long_chains(spark):
     assert got == {**{i: 0 for i in range(2000)}, **{5000 + i: 5000 for i in range(701)}}
 
 
+@pytest.mark.parametrize("radius", [1, 2])
+def test_links_of_smaller_radius(spark, radius):
+    rng = random.Random(7)
+    prints = sorted({5, 8, 12, 13, *(rng.getrandbits(6) for _ in range(30)), *(rng.getrandbits(9) << 20 for _ in range(60))})
+    found = simhash.links(spark.createDataFrame([(p,) for p in prints], "fingerprint long"), radius).collect()
+    assert all(bin(a ^ b).count("1") <= radius for a, b in found)
+    near = [(a, b) for a in prints for b in prints if a < b and bin(a ^ b).count("1") <= radius]
+    groups = [{r.node: r.root for r in connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()} for pairs in (found, near)]
+    assert groups[0] == groups[1]
+    if radius == 1:
+        few = simhash.links(spark.createDataFrame([(p,) for p in (5, 8, 12, 13)], "fingerprint long"), radius).collect()
+        assert {frozenset(x) for x in few} == {frozenset((12, 13)), frozenset((5, 13)), frozenset((8, 12))}
+
+
 def test_edge_rows(spark):
     long = "word " * 20000
     rows = [(3, None, 1), (2, "", 1), (None, " ", 1), (7, "Some text of a few words", 1), (7, "Some text of a few words", 1), (9, "some TEXT of a few words", 2), (5, long, 3), (None, "alone here today with nobody", 1)]
