@@ -11,7 +11,7 @@ from severa.llm.common import small, written
 RULES_IN_PLAN = 200
 DAMPING = 0.85
 ROUNDS = 12
-#: A host without a rule is blocked if its distrust is over RATIO times its trust, and over LEAST.
+#: A host without a rule is blocked if its distrust is over RATIO times its trust, and over LEAST times a blocked seed's base.
 RATIO = 1.0
 LEAST = 1e-6
 
@@ -107,15 +107,17 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], ratio: float = RATIO,
     """Per row of pages (page_id, url, html): page_id, host, path, rule and verdict.
 
     A page that a rule fits has the rule's verdict. Others have their host's: seeds are the hosts of allowed and of
-    blocked pages; block where distrust is over ratio times trust and over least, else allow. A null url, or one
-    without ://, has an empty host and path, and is allowed by no link. Repeated rows come back repeated; null html
-    has no links; an empty table gives an empty one; other columns are ignored.
+    blocked pages; block where distrust is over ratio times trust and over least times what a blocked seed starts
+    with, which shrinks with their number as all distrust does, else allow. A null url, or one without ://, has an
+    empty host and path, and is allowed by no link. Repeated rows come back repeated; null html has no links; an empty
+    table gives an empty one; other columns are ignored.
     """
     placed = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     told = ruled(placed, rules)
     hosts = written(told.groupBy("host").agg(F.max(F.when(F.col("says") == "allow", 1).otherwise(0)).alias("allowed"), F.max(F.when(F.col("says") == "block", 1).otherwise(0)).alias("blocked")), "hosts")
     edges = written(host_edges(pages.select(host(F.col("url")).alias("host"), "html"), hosts), "links")
     scores = propagate(edges, hosts.where("allowed = 1"), hosts.where("blocked = 1"))
-    bad = written(scores.where((F.col("distrust") > ratio * F.col("trust")) & (F.col("distrust") > least)).select("host", F.lit("block").alias("propagated")), "bad")
+    floor = least * (1 - DAMPING) / max(1, hosts.where("blocked = 1").count())
+    bad = written(scores.where((F.col("distrust") > ratio * F.col("trust")) & (F.col("distrust") > floor)).select("host", F.lit("block").alias("propagated")), "bad")
     out = told.join(small(bad), "host", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("says", "propagated", F.lit("allow")).alias("verdict"))

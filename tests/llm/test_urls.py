@@ -66,6 +66,16 @@ def test_propagation(spark):
     assert verdicts["spam.org"] == verdicts["fan.org"] == "block" and verdicts["good.org"] == verdicts["lone.org"] == "allow"
 
 
+def test_verdicts_do_not_depend_on_the_crawl(spark):
+    def judged(n):
+        rows = [(0, "http://near.org/", "see h0.net"), (1, "http://far.org/", "see near.org")]
+        rows += [(i + 2, f"http://h{i}.net/es/", "") for i in range(n)]
+        rows += [(i + 300_000, f"http://h{i}.net/", "") for i in range(3)]
+        return {r.host: r.verdict for r in urls.judge(frame(spark, rows), RULES).where("page_id < 2 or page_id >= 300000").collect()}
+
+    assert judged(20) == judged(150_001) == {h: "block" for h in ("near.org", "far.org", "h0.net", "h1.net", "h2.net")}
+
+
 def test_rules_by_join(spark, monkeypatch):
     placed = frame(spark, pages()).select("page_id", urls.host(urls.F.col("url")).alias("host"), urls.path(urls.F.col("url")).alias("path"))
     want = sorted(map(tuple, urls.ruled(placed, RULES).collect()), key=str)
