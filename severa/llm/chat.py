@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from severa.llm.common import small, written
+from severa.llm.common import fresh_folder, written
 
 #: Calls in a text: {"tool_calls": [{"id": ..., "name": ..., "arguments": {...}, "after": [ids]}]}; arguments stay JSON text.
 CALLS = "tool_calls array<struct<id:string,name:string,arguments:string,after:array<string>>>"
 #: A result in a text: {"tool_call_id": ..., "content": ...}.
 RESULT = "tool_call_id string, content string"
-#: Rounds of ordering: chains of calls longer than this, and cycles, have no level.
-MOST_LEVELS = 64
 
 
 def canonical(json: Column) -> Column:
@@ -77,24 +76,25 @@ def levels(calls: DataFrame, results: DataFrame | None = None) -> DataFrame:
     """(conv_id, call, level): the topological order of calls by their `after` lists, 0 for those that wait for none.
 
     A call stands one level above the highest it waits for; identifiers that no call has don't count. Kahn's
-    order in rounds: each join takes one level of all conversations at once. Calls in cycles, or in chains of more
-    than MOST_LEVELS, don't come back.
+    order in rounds, as many as the longest chain has calls: each join takes one level of all conversations at once, and
+    only what still waits is written again. Calls in cycles, and those that wait for them, don't come back.
     """
     known = calls.where("call is not null").select("conv_id", "call").distinct()
     waits = calls.where("call is not null and size(after) > 0").select("conv_id", "call", F.explode("after").alias("needs")).distinct()
     waits = written(waits.join(known.withColumnRenamed("call", "needs"), ["conv_id", "needs"], "left_semi"), "waits")
     if waits.isEmpty():
         return known.withColumn("level", F.lit(0))
-    done = known.join(waits.select("conv_id", "call").distinct(), ["conv_id", "call"], "left_anti").withColumn("level", F.lit(0))
-    done = written(done, "levels")
-    for level in range(1, MOST_LEVELS + 1):
-        open_ = waits.join(done.select("conv_id", F.col("call").alias("needs")), ["conv_id", "needs"], "left_anti").select("conv_id", "call").distinct()
-        waiting = waits.select("conv_id", "call").distinct().join(done, ["conv_id", "call"], "left_anti")
-        ready = written(waiting.join(open_, ["conv_id", "call"], "left_anti").withColumn("level", F.lit(level)), "ready")
+    spark, path, level = calls.sparkSession, fresh_folder(calls.sparkSession, "levels"), 0
+    ready = known.join(waits.select("conv_id", "call").distinct(), ["conv_id", "call"], "left_anti")
+    while True:
+        ready.write.parquet(f"{path}/level={level}")
+        ready = spark.read.schema(known.schema).parquet(f"{path}/level={level}")
         if ready.isEmpty():
             break
-        done = written(done.union(ready), "levels")
-    return done
+        left = written(waits.join(ready.withColumnRenamed("call", "needs"), ["conv_id", "needs"], "left_anti"), "waits")
+        ready = waits.select("conv_id", "call").distinct().join(left.select("conv_id", "call").distinct(), ["conv_id", "call"], "left_anti")
+        waits, level = left, level + 1
+    return spark.read.schema(T.StructType([*known.schema.fields, T.StructField("level", T.IntegerType())])).parquet(path)
 
 
 def link(messages: DataFrame, schemas: dict | None = None, implicit: bool = True) -> DataFrame:

@@ -45,6 +45,13 @@ def test_links(spark):
     assert results[1, 2].linked and not results[1, 3].linked and results[2, 2].call is None
 
 
+def test_long_chain(spark):
+    chain = [(f"c{i}", "ping", {}, [f"c{i - 1}"] if i else []) for i in range(70)]
+    rows = [(1, 0, "assistant", calls(*chain[::-1])), (1, 1, "tool", json.dumps({"tool_call_id": "c69", "content": ""})), (2, 0, "assistant", calls(("a", "ping", {}, ["b"]), ("b", "ping", {}, ["a"]), ("c", "ping", {}, ["b"])))]
+    got = {(r.conv_id, r.kind, r.call): r.level for r in chat.link(frame(spark, rows), SCHEMAS).collect() if r.kind != "message"}
+    assert got == {**{(1, "call", f"c{i}"): i for i in range(70)}, (1, "result", "c69"): 69, **{(2, "call", x): None for x in "abc"}}
+
+
 def test_requests_and_replies(spark):
     rows = [(7, 0, "user", "a"), (7, 1, "assistant", "b"), (7, 2, "user", "c"), (8, 1, "assistant", "d")]
     got = chat.link(frame(spark, rows)).collect()
