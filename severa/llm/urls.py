@@ -10,7 +10,9 @@ from severa.llm.common import small, written
 #: Rules up to so many become one expression; more are joined by host suffix.
 RULES_IN_PLAN = 200
 DAMPING = 0.85
+#: Scores are tested after every ROUNDS rounds, and are done when none grew by more than SETTLED of itself in the last.
 ROUNDS = 12
+SETTLED = 1e-4
 #: A host without a rule is blocked if its distrust is over RATIO times its trust, and over LEAST times a blocked seed's base.
 RATIO = 1.0
 LEAST = 1e-6
@@ -76,12 +78,13 @@ def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
     return told.join(small(hosts.select(F.col("host").alias("dst"))), "dst", "left_semi").select("src", "dst")
 
 
-def propagate(edges: DataFrame, trusted: DataFrame, blocked: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def propagate(edges: DataFrame, trusted: DataFrame, blocked: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, settled: float = SETTLED) -> DataFrame:
     """(host, trust, distrust): personalised PageRank from trusted hosts along edges, and from blocked ones against them.
 
     Both run as one table: a row's kind tells which. Each round is one join on the written edges and one sum that
     combines before the shuffle; a host that all link to is a sum, one that links to all a join that Spark can split.
-    Hosts that no seed reaches don't come back. Mass at hosts without a way on is lost, as in a walk that ends there.
+    Rounds go on until all that a seed reaches has a score and none still grows by more than settled of itself; that is
+    tested after every so many rounds. Hosts that no seed reaches don't come back. Mass at hosts without a way on is lost, as in a walk that ends there.
     """
     spark = edges.sparkSession
     forward = edges.select(F.lit("trust").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"))
@@ -93,12 +96,15 @@ def propagate(edges: DataFrame, trusted: DataFrame, blocked: DataFrame, damping:
     seeds = written(seeds, "seeds")
     each = written(seeds.groupBy("kind").agg(F.count("*").alias("n")), "each")
     base = written(seeds.join(F.broadcast(each), "kind").select("kind", "host", ((1 - damping) / F.col("n")).alias("score")), "base")  # two rows at most
-    state = base
-    if ways.isEmpty() or base.isEmpty():
-        rounds = 0
-    for _ in range(rounds):
-        sent = ways.join(state, (ways["kind"] == state["kind"]) & (ways["a"] == state["host"])).select(ways["kind"], F.col("b").alias("host"), (F.col("share") * F.col("score")).alias("score"))
-        state = written(sent.union(base).groupBy("kind", "host").agg(F.sum("score").alias("score")), "state")
+    none = F.lit(0.0)
+    start = base.withColumn("was", none)
+    state, growing = start, not (ways.isEmpty() or base.isEmpty())
+    while growing:
+        for _ in range(rounds):
+            sent = ways.join(state, (ways["kind"] == state["kind"]) & (ways["a"] == state["host"])).select(ways["kind"], F.col("b").alias("host"), (F.col("share") * F.col("score")).alias("score"), none.alias("was"))
+            before = state.select("kind", "host", none.alias("score"), F.col("score").alias("was"))
+            state = written(sent.union(start).union(before).groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("was").alias("was")), "state")
+        growing = not state.where(F.abs(F.col("score") - F.col("was")) > settled * F.col("score")).isEmpty()
     part = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("score")).otherwise(0.0)).alias(kind)
     return state.groupBy("host").agg(part("trust"), part("distrust"))
 

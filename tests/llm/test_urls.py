@@ -76,6 +76,18 @@ def test_verdicts_do_not_depend_on_the_crawl(spark):
     assert judged(20) == judged(150_001) == {h: "block" for h in ("near.org", "far.org", "h0.net", "h1.net", "h2.net")}
 
 
+def test_deep_chain(spark):
+    rows = [(0, "http://c0.net/es/", "")] + [(i, f"http://c{i}.net/", f"see c{i - 1}.net") for i in range(1, 31)]
+    assert {r.verdict for r in urls.judge(frame(spark, rows), RULES).collect()} == {"block"}
+
+
+def test_scores_are_settled(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "a")], "src string, dst string")
+    seed, none = spark.createDataFrame([("a",)], "host string"), spark.createDataFrame([], "host string")
+    trust = {r.host: r.trust for r in urls.propagate(edges, seed, none).collect()}
+    assert abs(trust["a"] - 0.15 / (1 - 0.85**2)) < 1e-3 and abs(trust["b"] - 0.85 * trust["a"]) < 1e-3
+
+
 def test_rules_by_join(spark, monkeypatch):
     placed = frame(spark, pages()).select("page_id", urls.host(urls.F.col("url")).alias("host"), urls.path(urls.F.col("url")).alias("path"))
     want = sorted(map(tuple, urls.ruled(placed, RULES).collect()), key=str)
