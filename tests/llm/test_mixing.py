@@ -1,6 +1,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from severa.llm import mixing
 
@@ -78,12 +79,32 @@ def test_mix(spark):
     docs = rows(200)
     got = mixing.mix(frame(spark, docs)).collect()
     taken = {r.doc_id: r.copies for r in mixing.report(frame(spark, docs)).collect()}
-    assert sorted((r.doc_id, r.copy) for r in got) == sorted((i, k + 1) for i, n in taken.items() for k in range(n))
+    assert got[0].__fields__ == ["doc_id", "text", "source", "copy", "size", "copy_2"]
+    assert sorted((r.doc_id, r.copy_2) for r in got) == sorted((i, k + 1) for i, n in taken.items() for k in range(n))
     assert mixing.mix(frame(spark, docs).limit(0)).count() == 0
     assert mixing.report(frame(spark, docs).limit(0)).count() == 0
     assert [r.taken for r in mixing.report(frame(spark, [(1, None, None)])).collect()] == [0]
 
 
+def test_rows_without_ids(spark):
+    docs = [(None if i % 3 else 7, "w " * (1 + i % 5), "a" if i % 9 else "b") for i in range(6000)]
+    got = mixing.report(frame(spark, docs).repartition(8)).collect()
+    check([(None, t, s) for _, t, s in docs], got)
+
+
+def test_hot_ids_are_dealt_out(spark, monkeypatch):
+    """The largest group that one window sorts, of 40,000 rows whose id is null."""
+    from pyspark.sql import Window
+
+    seen = []
+    monkeypatch.setattr(mixing.Window, "partitionBy", lambda *c, f=Window.partitionBy: (seen.append(c), f(*c))[1])
+    docs = spark.range(40_000).select(F.lit(None).cast("long").alias("id"), F.lit("a").alias("source"), F.lit(5).cast("long").alias("size"), (F.col("id") % 16).cast("int").alias("part"), F.col("id").alias("k"))
+    got = mixing.copies(docs)
+    assert got.count() == 40_000
+    assert ("rank", "_class", "_slice", "_cell", "_part") in seen
+    assert got.groupBy("part").agg(F.sum("copies").alias("n")).where("n <> 2500").count() == 0
+
+
 def test_query(spark):
     from severa.llm import queries
 
