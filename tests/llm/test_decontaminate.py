@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import pytest
+
 from severa.llm import decontaminate
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -65,6 +67,43 @@ def test_shuffled_probe(spark, monkeypatch):
     assert sorted(map(tuple, decontaminate.report(*frames(spark, docs, items)).collect())) == sorted(brute(docs, items))
 
 
+@pytest.mark.parametrize("window", [1, 3, 32, 40])
+@pytest.mark.parametrize("rows", [0, 2_000_000])
+def test_windows_of_any_length(spark, monkeypatch, window, rows):
+    monkeypatch.setattr(decontaminate, "SET_ROWS", rows)
+    rng = random.Random(9)
+    text = lambda n: " ".join(rng.choice("abcdefgh") for _ in range(n))
+    items = [(i, text(rng.choice([2, 20, 45, 90]))) for i in range(12)]
+    docs = [(i, text(30) + " " + items[i % 12][1] + " " + text(20)) for i in range(20)] + [(50, None), (51, text(25))]
+    d, b = frames(spark, docs, items)
+    assert sorted(map(tuple, decontaminate.report(d, b, window=window).collect())) == sorted(brute(docs, items, window))
+    assert sorted(r.doc_id for r in decontaminate.clean(d, b, window=window).collect()) == sorted(i for i, *_, bad in brute(docs, items, window) if not bad)
+
+
+def test_a_window_of_many_items(spark):
+    shared = "one two three four five six seven eight nine ten"
+    items = [(i, f"{shared} x{i} y{i}") for i in range(10_000)]
+    docs = [(1, shared), (2, f"a {shared} b {shared}"), (3, "one two"), (4, f"{shared} x7 y7")]
+    d, b = frames(spark, docs, items)
+    assert sorted(map(tuple, decontaminate.report(d, b).collect())) == sorted(brute(docs, items))
+
+
+def test_shuffled_probe_of_long_texts(spark, monkeypatch):
+    """Without a broadcast, words don't travel with every window: the time stays near the broadcast's."""
+    import time
+
+    rng = random.Random(1)
+    docs = [(i, " ".join(str(rng.randrange(5000)) for _ in range(20_000))) for i in range(8)]
+    d, b = frames(spark, docs, [(1, " ".join(docs[3][1].split()[50:80])), (2, "none of these ten words is in any of the texts at all")])
+    took = {}
+    for rows in (2_000_000, 0, 2_000_000, 0):  # the first two warm up
+        monkeypatch.setattr(decontaminate, "SET_ROWS", rows)
+        began = time.perf_counter()
+        assert [r.n_hit for r in decontaminate.report(d, b).orderBy("doc_id").collect()] == [0, 0, 0, 30, 0, 0, 0, 0]
+        took[rows] = time.perf_counter() - began
+    assert took[0] <= 2 * took[2_000_000] + 1
+
+
 def test_query(spark):
     from severa.llm import queries
 
