@@ -28,9 +28,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         large = parents.join(tops, parents["parent"] == tops["at"], "left").select("node", F.coalesce("root", "parent").alias("parent"))
         large = written(large.distinct(), "large")
-        least = written(_least(large).select("node", "root"), "least")
-        hooked = large.join(least, "node").where("parent <> root").select(F.col("parent").alias("node"), F.col("root").alias("parent"))
-        parents = written(hooked.union(least).distinct(), "small")
+        tops = written(_least(large).select("node", "root"), "tops")
+        hooked = large.join(tops, "node").where("parent <> root").select(F.col("parent").alias("node"), F.col("root").alias("parent"))
+        parents = written(hooked.union(tops).distinct(), "small", (parents, least, large, tops))
     return least.select("node", "root").union(least.select("root", "root").distinct())
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from itertools import combinations
 
 import numpy as np
@@ -11,11 +12,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from severa.llm.common import nested, row_key, rows_of, written
+from severa.llm.common import decided, placed, rows_of, written
 from severa.llm.components import connected_components
 
 SEED = 42
 SIGN = 1 << 63
+#: Bytes of a text whose shingles are hashed at once.
+PIECE = 1 << 20
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def simhash64(data: bytes | None, shingle: int = 3, seed: int = SEED) -> int:
@@ -24,21 +28,42 @@ def simhash64(data: bytes | None, shingle: int = 3, seed: int = SEED) -> int:
     A-Z are lower-cased, words are maximal runs without ASCII white space, shingles are space-joined words,
     repeats included. A bit is 1 if set in over half the shingles' hashes.
     """
-    words = data.lower().split() if data else ()  # of bytes: ASCII only, as wanted
-    if not words:
+    if not data:
         return 0
+    n, over = 0, np.zeros(64, np.int64)
+    for words in _pieces(data.lower(), shingle):
+        hashes = _shingle_hashes(words, shingle, seed)
+        n += len(hashes)
+        over += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(over * 2 > n, bitorder="little").view(np.uint64)[0])
+
+
+def _pieces(data: bytes, shingle: int):
+    """The words of a text in pieces of about PIECE bytes; each piece begins with the last words of the one before, so
+    that every shingle is in one piece. A text of fewer words than a shingle is one piece, one without words none."""
+    at, words, whole = 0, [], False
+    while at < len(data):
+        space = SPACE.search(data, at + PIECE)
+        upto = space.start() if space else len(data)
+        words += data[at:upto].split()  # of bytes: at ASCII white space only, as wanted
+        at = upto
+        if len(words) >= shingle:
+            yield words
+            whole, words = True, words[len(words) - shingle + 1 :]
+    if words and not whole:
+        yield words
+
+
+def _shingle_hashes(words: list[bytes], shingle: int, seed: int) -> np.ndarray:
+    """The hashes of the shingles of words; one of them all if they are fewer than a shingle has."""
     joined = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, seed)
+        return np.array([digest(joined, seed)], np.uint64)
     lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
     ends = np.cumsum(lengths) - 1
-    starts = ends + 1 - lengths
-    digest = xxhash.xxh64_intdigest
-    spans = zip(starts.tolist(), ends[shingle - 1 :].tolist())
-    hashes = np.fromiter([digest(joined[a:b], seed) for a, b in spans], np.uint64, len(words) - shingle + 1)
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    over = bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes)
-    return int(np.packbits(over, bitorder="little").view(np.uint64)[0])
+    spans = zip((ends + 1 - lengths).tolist(), ends[shingle - 1 :].tolist())
+    return np.fromiter([digest(joined[a:b], seed) for a, b in spans], np.uint64, len(words) - shingle + 1)
 
 
 def fingerprints(docs: DataFrame, id_columns: tuple[str, ...] = ("doc_id",), text: str = "text", shingle: int = 3) -> DataFrame:
@@ -133,13 +158,14 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text", radius: int = 3, shingle: int = 3, blocks: int = 6) -> DataFrame:
     """docs with one row of each component, with all its columns: that with the smallest id, a null id last.
 
-    Among rows with the same id the smallest content key decides, and rows equal in all columns are one row.
+    Among rows with the same id the first by its place in docs' files stays; so rows that repeat are one row. Null and
+    empty texts are copies of each other. Only the places of rows that go come back to the texts, which aren't shuffled.
     """
-    rank = F.struct(F.col(id_column).isNull().alias("absent"), F.col(id_column).alias("id"), row_key(*docs.columns).alias("key"))
-    member = near_duplicates(docs.select(rank.alias("_rank"), F.col(text).alias("_text")), "_rank", "_text", radius, shingle, blocks)
-    stays = member.where("_rank = component_id").select(F.col("_rank.key").alias("_key")).distinct()
-    keyed = nested(docs, _key=row_key(*docs.columns))
-    return keyed.join(stays, "_key", "left_semi").dropDuplicates(["_key"]).select(*rows_of(docs))
+    rows = placed(docs)
+    rank = F.struct(F.col("_in")[id_column].isNull().alias("absent"), F.col("_in")[id_column].alias("id"), F.col("_file").alias("file"), F.col("_at").alias("at"))
+    member = near_duplicates(rows.select(rank.alias("_rank"), F.col("_in")[text].alias("_text")), "_rank", "_text", radius, shingle, blocks)
+    gone = member.where("_rank <> component_id").select(F.col("_rank.file").alias("_file"), F.col("_rank.at").alias("_at"), F.lit(0).alias("n"))
+    return decided(rows, gone, 1).where("_n = 1").select(*rows_of(docs))
 
 
 def hexadecimal(column: str) -> Column:

@@ -49,6 +49,14 @@ def test_fingerprint(text):
     assert simhash.simhash64(None if text is None else text.encode()) == plain(text)
 
 
+@pytest.mark.parametrize("piece", [1, 5, 40])
+def test_fingerprint_in_pieces(monkeypatch, piece):
+    monkeypatch.setattr(simhash, "PIECE", piece)
+    for text in ("", "  ", "One", "Two words", "a b c", " a  b c d ", "x y z é " * 30, "w" * 100 + " a b"):
+        for k in (1, 3):
+            assert simhash.simhash64(text.encode(), k) == plain(text, k)
+
+
 def test_links_lose_none(spark):
     rng = random.Random(5)
     prints = set()
@@ -111,6 +119,15 @@ def test_edge_rows(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_stage_takes_any_columns(spark):
+    rows = [(1, "a b c d", {"k": 1}, 5), (1, "a b c d", {"k": 1}, 5), (2, "a b c d", None, 6), (3, None, {}, 7), (None, "", {}, 8), (4, "q r s t", {}, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _in map<string,int>, _at int")
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.text, r._at) for r in kept.collect()) == [(1, "a b c d", 5), (3, None, 7), (4, "q r s t", 9)]
+    assert simhash.one_of_each(docs.limit(0)).count() == 0
+
+
 def test_query(spark):
     from severa.llm import queries
 
