@@ -159,16 +159,52 @@ FROM t LEFT JOIN g USING (id)
 
 #: The tables hold no explicit tool calls, so these are messages, and requests with their replies.
 OP8 = """
-SELECT conv_id, turn, 'message' AS kind, NULL::VARCHAR AS call, true AS linked, 0 AS level, '' AS faults, CAST(to_json({'content': text, 'role': role}) AS VARCHAR) AS json FROM conversations
+SELECT conv_id, turn, 'message' AS kind, NULL::VARCHAR AS call, true AS linked, 0 AS level, false AS cyclic, '' AS faults, CAST(to_json({'content': text, 'role': role}) AS VARCHAR) AS json FROM conversations
 UNION ALL
-SELECT conv_id, turn, 'call', 'turn:' || turn, EXISTS (SELECT 1 FROM conversations a WHERE a.conv_id = c.conv_id AND a.role = 'assistant' AND a.turn = c.turn + 1), 0, '',
+SELECT conv_id, turn, 'call', 'turn:' || turn, EXISTS (SELECT 1 FROM conversations a WHERE a.conv_id = c.conv_id AND a.role = 'assistant' AND a.turn = c.turn + 1), 0, false, '',
        CAST(to_json({'arguments': CAST(to_json({'prompt': text}) AS VARCHAR), 'id': 'turn:' || turn, 'name': 'reply'}) AS VARCHAR) FROM conversations c WHERE role = 'user'
 UNION ALL
 SELECT conv_id, turn, 'result', 'turn:' || (turn - 1), EXISTS (SELECT 1 FROM conversations a WHERE a.conv_id = c.conv_id AND a.role = 'user' AND a.turn = c.turn - 1),
-       CASE WHEN EXISTS (SELECT 1 FROM conversations a WHERE a.conv_id = c.conv_id AND a.role = 'user' AND a.turn = c.turn - 1) THEN 0 END, '',
+       CASE WHEN EXISTS (SELECT 1 FROM conversations a WHERE a.conv_id = c.conv_id AND a.role = 'user' AND a.turn = c.turn - 1) THEN 0 END, false, '',
        CAST(to_json({'content': text, 'tool_call_id': 'turn:' || (turn - 1)}) AS VARCHAR) FROM conversations c WHERE role = 'assistant'
 """
 
 
+_HOST, _PATH = (f"translate(regexp_extract({{0}}, '^.*?://([^/?#]*)([^?#]*)', {k}, 's'), {{1}})" for k in (1, 2))
+_LOW = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_LONGEST = sorted(((r, v, *r.partition("/")) for v, r in RULES), key=lambda x: (-len(x[0]), x))
+_RULE = "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{p}') THEN '{r}'" for r, _, h, _, p in _LONGEST) + " END"
+_SAYS = "CASE rule " + " ".join(f"WHEN '{r}' THEN '{v}'" for r, v, *_ in _LONGEST) + " END"
+_NODE = "regexp_replace(host, '^.*@|:[0-9]*$', '', 'gs')"
+#: The walk's mass, step by step, adds up to the ranks; it ends when none of it counts any more.
+OP5 = rf"""
+WITH RECURSIVE p AS MATERIALIZED (
+  SELECT *, {_NODE} AS node, {_SAYS} AS says FROM (
+    SELECT *, {_RULE} AS rule FROM (SELECT page_id, coalesce(html, '') AS html, {_HOST.format("coalesce(url, '')", _LOW)} AS host, {_PATH.format("coalesce(url, '')", "'', ''")} AS path FROM pages))),
+found AS (SELECT node AS src, unnest(list_distinct(regexp_extract_all(html, '(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^\x00-\x20"''<>\\]+'))) AS u FROM p WHERE host <> ''),
+linked AS (SELECT DISTINCT src, CASE WHEN starts_with(u, '//') THEN 'http:' || u ELSE u END AS u FROM found),
+judged AS MATERIALIZED (
+  SELECT src, dst, {_SAYS} AS says FROM (
+    SELECT src, {_NODE} AS dst, {_RULE} AS rule FROM (SELECT src, {_HOST.format("u", _LOW)} AS host, {_PATH.format("u", "'', ''")} AS path FROM linked) WHERE host <> '')
+  WHERE dst <> '' AND dst <> src),
+names AS (SELECT node AS src, translate(unnest(list_distinct([regexp_extract(x, '^[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') for x in regexp_extract_all(html, '[A-Za-z0-9._@-]+')])), {_LOW}) AS dst FROM p WHERE host <> ''),
+edges AS MATERIALIZED (
+  SELECT DISTINCT src, dst FROM judged
+  UNION SELECT src, dst FROM names WHERE dst <> src AND dst IN (SELECT node FROM p WHERE host <> '')),
+seeds AS (
+  SELECT host, avg(CASE WHEN says = 'allow' THEN 1.0 ELSE 0.0 END) AS allowed, avg(CASE WHEN says = 'block' THEN 1.0 ELSE 0.0 END) AS blocked
+  FROM (SELECT node AS host, says FROM p WHERE host <> '' UNION ALL SELECT dst, says FROM judged) GROUP BY host),
+both_ways AS (SELECT 'trust' AS kind, src AS a, dst AS b FROM edges UNION ALL SELECT 'distrust', dst, src FROM edges),
+ways AS MATERIALIZED (SELECT kind, a, b, 0.85 / count(*) OVER (PARTITION BY kind, a) AS share FROM both_ways),
+mass(kind, host, score, k) AS (
+  SELECT 'trust', host, CAST(0.15 * allowed AS DOUBLE), 0 FROM seeds WHERE allowed > 0
+  UNION ALL SELECT 'distrust', host, CAST(0.15 * blocked AS DOUBLE), 0 FROM seeds WHERE blocked > 0
+  UNION ALL SELECT * FROM (SELECT w.kind, w.b, sum(m.score * w.share) AS score, max(k) + 1 AS k FROM mass m JOIN ways w ON w.kind = m.kind AND w.a = m.host GROUP BY w.kind, w.b) WHERE score > 1e-9 AND k < 300),
+ranks AS (SELECT host, coalesce(sum(score) FILTER (kind = 'trust'), 0) AS trust, coalesce(sum(score) FILTER (kind = 'distrust'), 0) AS distrust FROM mass GROUP BY host)
+SELECT page_id, p.host, path, rule, coalesce(says, CASE WHEN p.host <> '' AND distrust > trust AND distrust > 1e-4 THEN 'block' END, 'allow') AS verdict
+FROM p LEFT JOIN ranks r ON p.node = r.host
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": OP2, "op6_pii": OP6, "op8_chat": OP8, "op4_warc": OP4, "op10_decontamination": OP10}
+    return {"op5_urls": OP5, "op2_mixing": OP2, "op6_pii": OP6, "op8_chat": OP8, "op4_warc": OP4, "op10_decontamination": OP10}

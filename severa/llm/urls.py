@@ -13,13 +13,16 @@ DAMPING = 0.85
 #: Scores are tested after every ROUNDS rounds, and are done when none grew by more than SETTLED of itself in the last.
 ROUNDS = 12
 SETTLED = 1e-4
-#: A host without a rule is blocked if its distrust is over RATIO times its trust, and over LEAST times a blocked seed's base.
+#: A host's pages without a rule are blocked if its distrust is over RATIO times its trust and over LEAST. A host that is
+#: wholly a seed starts with a score of 1 - DAMPING, whatever the crawl's size.
 RATIO = 1.0
-LEAST = 1e-6
+LEAST = 1e-4
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-#: Hosts that a page names: in absolute or scheme-less links, or written out, such as in a footer.
+#: Links that a page writes with a host, with or without a scheme: in any attribute, <base> among them, or in its text.
+LINKS = r"(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^\x00-\x20\"'<>\\]+"
+#: Names of hosts that a page writes out, such as in a footer.
 NAMED = r"(?<![A-Za-z0-9._@-])[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 
 
@@ -70,40 +73,68 @@ def _joined(pages: DataFrame, order: list[tuple[str, str]]) -> DataFrame:
     return pages.join(written(best, "best"), ["host", "path"], "left").select(*pages.columns, "_best.rule", "_best.says")
 
 
-def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
-    """Distinct edges (src, dst) between different known hosts: a page of src names dst. pages: host and html."""
+def node(name: Column) -> Column:
+    """A host as a node of the link graph: without user and port."""
+    return F.regexp_replace(name, r"^.*@|:[0-9]*$", "")
+
+
+def links(pages: DataFrame) -> DataFrame:
+    """Distinct (src, url) of the links that pages (host, html) write with a host. A link without a scheme gets that of http."""
+    found = F.array_distinct(F.regexp_extract_all(F.coalesce(F.col("html"), F.lit("")), F.lit(LINKS), F.lit(0)))
+    told = pages.where("host <> ''").select(node(F.col("host")).alias("src"), F.explode(found).alias("url"))
+    return told.select("src", F.when(F.col("url").startswith("//"), F.concat(F.lit("http:"), F.col("url"))).otherwise(F.col("url")).alias("url")).distinct()
+
+
+def named_hosts(pages: DataFrame, hosts: DataFrame) -> DataFrame:
+    """Distinct (src, dst): a page of src writes out the name of dst, one of hosts (host). pages: host and html."""
     named = F.array_distinct(F.regexp_extract_all(F.coalesce(F.col("html"), F.lit("")), F.lit(NAMED), F.lit(0)))
-    told = pages.where("host <> ''").select(F.col("host").alias("src"), F.explode(named).alias("dst"))
+    told = pages.where("host <> ''").select(node(F.col("host")).alias("src"), F.explode(named).alias("dst"))
     told = told.select("src", F.translate("dst", UPPER, UPPER.lower()).alias("dst")).where("src <> dst").distinct()
     return told.join(small(hosts.select(F.col("host").alias("dst"))), "dst", "left_semi").select("src", "dst")
 
 
-def propagate(edges: DataFrame, trusted: DataFrame, blocked: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, settled: float = SETTLED) -> DataFrame:
-    """(host, trust, distrust): personalised PageRank from trusted hosts along edges, and from blocked ones against them.
+def graph(pages: DataFrame, rules: list[tuple[str, str]], told: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges, seeds) of pages (host, html); told are their ruled() rows, by host.
 
+    edges (src, dst) join different hosts, crawled or not: a page of src links to dst, or writes out its name if dst was
+    crawled. seeds (host, allowed, blocked) are shares, from 0 to 1, of a host's urls that rules allow and block: of its
+    own pages, and of the distinct links to it that other hosts write.
+    """
+    linked = written(links(pages), "links")
+    there = linked.select("src", host(F.col("url")).alias("host"), path(F.col("url")).alias("path")).where("host <> ''")
+    judged = written(ruled(there, rules).select("src", node(F.col("host")).alias("dst"), "says").where("dst <> '' and src <> dst"), "judged")
+    own = told.where("host <> ''").select(node(F.col("host")).alias("host"), "says")
+    crawled = written(own.select("host").distinct(), "hosts")
+    edges = judged.select("src", "dst").union(named_hosts(pages, crawled)).distinct()
+    says = lambda x: F.count_if(F.col("says") == x) / F.count("*")
+    seeds = own.union(judged.select("dst", "says")).groupBy("host").agg(says("allow").alias("allowed"), says("block").alias("blocked"))
+    return written(edges, "edges"), written(seeds.where("allowed > 0 or blocked > 0"), "seeds")
+
+
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, settled: float = SETTLED) -> DataFrame:
+    """(host, trust, distrust): personalised PageRank from allowed seeds along edges, and from blocked ones against them.
+
+    seeds are (host, allowed, blocked), shares from 0 to 1; a whole seed starts with 1 - damping. That is PageRank times
+    the number of seeds, so trust and distrust compare host by host, and neither depends on how many seeds there are.
     Both run as one table: a row's kind tells which. Each round is one join on the written edges and one sum that
     combines before the shuffle; a host that all link to is a sum, one that links to all a join that Spark can split.
     Rounds go on until all that a seed reaches has a score and none still grows by more than settled of itself; that is
     tested after every so many rounds. Hosts that no seed reaches don't come back. Mass at hosts without a way on is lost, as in a walk that ends there.
     """
-    spark = edges.sparkSession
     forward = edges.select(F.lit("trust").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"))
-    ways = forward.union(edges.select(F.lit("distrust"), F.col("dst"), F.col("src")))
-    ways = written(ways, "ways")
+    ways = written(forward.union(edges.select(F.lit("distrust"), F.col("dst"), F.col("src"))), "ways")
     degrees = written(ways.groupBy("kind", "a").agg(F.count("*").alias("n")), "degrees")
-    ways = written(ways.join(degrees, ["kind", "a"]).select("kind", "a", "b", (F.lit(damping) / F.col("n")).alias("share")), "shares")
-    seeds = trusted.select(F.lit("trust").alias("kind"), "host").union(blocked.select(F.lit("distrust"), F.col("host"))).distinct()
-    seeds = written(seeds, "seeds")
-    each = written(seeds.groupBy("kind").agg(F.count("*").alias("n")), "each")
-    base = written(seeds.join(F.broadcast(each), "kind").select("kind", "host", ((1 - damping) / F.col("n")).alias("score")), "base")  # two rows at most
+    ways = written(ways.join(degrees, ["kind", "a"]).select("kind", "a", "b", (F.lit(damping) / F.col("n")).alias("share")), "shares", (ways, degrees))
+    begin = lambda kind, share: seeds.where(f"{share} > 0").select(F.lit(kind).alias("kind"), "host", ((1 - damping) * F.col(share)).alias("score"))
+    start = written(begin("trust", "allowed").union(begin("distrust", "blocked")).withColumn("was", F.lit(0.0)), "base")
     none = F.lit(0.0)
-    start = base.withColumn("was", none)
-    state, growing = start, not (ways.isEmpty() or base.isEmpty())
+    state, growing = start, not (ways.isEmpty() or start.isEmpty())
     while growing:
         for _ in range(rounds):
             sent = ways.join(state, (ways["kind"] == state["kind"]) & (ways["a"] == state["host"])).select(ways["kind"], F.col("b").alias("host"), (F.col("share") * F.col("score")).alias("score"), none.alias("was"))
             before = state.select("kind", "host", none.alias("score"), F.col("score").alias("was"))
-            state = written(sent.union(start).union(before).groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("was").alias("was")), "state")
+            after = sent.union(start).union(before).groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("was").alias("was"))
+            state = written(after, "state", () if state is start else (state,))
         growing = not state.where(F.abs(F.col("score") - F.col("was")) > settled * F.col("score")).isEmpty()
     part = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("score")).otherwise(0.0)).alias(kind)
     return state.groupBy("host").agg(part("trust"), part("distrust"))
@@ -112,18 +143,16 @@ def propagate(edges: DataFrame, trusted: DataFrame, blocked: DataFrame, damping:
 def judge(pages: DataFrame, rules: list[tuple[str, str]], ratio: float = RATIO, least: float = LEAST) -> DataFrame:
     """Per row of pages (page_id, url, html): page_id, host, path, rule and verdict.
 
-    A page that a rule fits has the rule's verdict. Others have their host's: seeds are the hosts of allowed and of
-    blocked pages; block where distrust is over ratio times trust and over least times what a blocked seed starts
-    with, which shrinks with their number as all distrust does, else allow. A null url, or one without ://, has an
-    empty host and path, and is allowed by no link. Repeated rows come back repeated; null html has no links; an empty
-    table gives an empty one; other columns are ignored.
+    A page that a rule fits has the rule's verdict. Others have their host's, by its scores from graph() and propagate():
+    block where distrust is over ratio times trust and over least, else allow. A null url, or one without ://, has an
+    empty host and path, and is allowed by no link. Repeated rows come back repeated; null html has no links, html of
+    any length is read whole; an empty table gives an empty one; other columns are ignored. Without an edge a host's scores
+    are its own pages' shares alone.
     """
     placed = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     told = ruled(placed, rules)
-    hosts = written(told.groupBy("host").agg(F.max(F.when(F.col("says") == "allow", 1).otherwise(0)).alias("allowed"), F.max(F.when(F.col("says") == "block", 1).otherwise(0)).alias("blocked")), "hosts")
-    edges = written(host_edges(pages.select(host(F.col("url")).alias("host"), "html"), hosts), "links")
-    scores = propagate(edges, hosts.where("allowed = 1"), hosts.where("blocked = 1"))
-    floor = least * (1 - DAMPING) / max(1, hosts.where("blocked = 1").count())
-    bad = written(scores.where((F.col("distrust") > ratio * F.col("trust")) & (F.col("distrust") > floor)).select("host", F.lit("block").alias("propagated")), "bad")
-    out = told.join(small(bad), "host", "left")
+    edges, seeds = graph(pages.select(host(F.col("url")).alias("host"), "html"), rules, told)
+    scores = propagate(edges, seeds)
+    bad = written(scores.where((F.col("distrust") > ratio * F.col("trust")) & (F.col("distrust") > least)).select(F.col("host").alias("_node"), F.lit("block").alias("propagated")), "bad")
+    out = told.withColumn("_node", node(F.col("host"))).join(small(bad), "_node", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("says", "propagated", F.lit("allow")).alias("verdict"))
