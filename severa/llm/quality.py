@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,10 +15,10 @@ from severa.llm.common import written
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SYMBOLS = b"#*$%&|<>"
 RUN = 8
-#: The forest: TREES trees, each of SAMPLE rows. It and its threshold are fitted on at most FIT_ROWS labelled rows,
-#: those with the smallest hash of their id: the bound of what comes to the driver.
-TREES, SAMPLE, FIT_ROWS = 100, 256, 50_000
-#: Of the labelled good rows that pass the base rules, the threshold lets at most this share go.
+#: The forest: TREES trees, each of SAMPLE rows and at most DEPTH splits deep. It and its threshold are fitted on at most
+#: FIT_ROWS labelled rows, those with the smallest hash of their id: the bound of what comes to the driver.
+TREES, SAMPLE, DEPTH, FIT_ROWS = 100, 256, 20, 50_000
+#: Of the labelled good rows that pass the base rules and didn't grow the forest, the threshold lets at most this share go.
 LOST_GOOD = 0.005
 SEED = 7
 
@@ -76,14 +76,15 @@ def statistics(docs: DataFrame, id_columns: tuple[str, ...] = ("doc_id",), text:
     return out.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(id_columns)], *STATS)
 
 
-def base_failed():
+def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
 def features(stats: np.ndarray) -> np.ndarray:
-    """Of rows of STATS: the word count's logarithm, the mean word length, and the rules' counts per word."""
+    """Of rows of STATS: the word count's logarithm, the mean word length, and the rules' counts per word. Those are near
+    0 nearly everywhere; their cube roots set none apart from few, as random cuts have to."""
     n = np.maximum(stats[:, 0], 1).astype(np.float64)
-    return np.column_stack([np.log2(n), stats[:, 1] / n, stats[:, 2] / n, stats[:, 3] / n, stats[:, 4] / n])
+    return np.column_stack([np.log2(n), stats[:, 1] / n, *[np.cbrt(stats[:, k] / n) for k in (2, 3, 4)]])
 
 
 @dataclass(frozen=True)
@@ -118,65 +119,76 @@ def _expected(n: float) -> float:
     return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
 
 
-def grow(x: np.ndarray, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> Forest:
-    """An isolation forest on the rows of x: random feature, random cut between its least and greatest value."""
+def grow(x: np.ndarray, low: np.ndarray | None = None, high: np.ndarray | None = None, trees: int = TREES, sample: int = SAMPLE, depth: int = DEPTH, seed: int = SEED) -> Forest:
+    """An isolation forest on the rows of x: random splits of random features.
+
+    A split is drawn over all that is left of the feature's range, which begins as low to high (the rows' own, if not
+    given), and not only over the rows that are there: so also what lies where no row does is cut off, after few splits.
+    """
     rng = np.random.default_rng(seed)
-    most = max(1, int(np.ceil(np.log2(max(2, min(sample, len(x)))))))
+    if not len(x):
+        return Forest(*[np.zeros(0, int)] * 6, typical=1.0)
     nodes: list[list[float]] = []
 
-    def leaf(depth: int, n: int) -> int:
-        nodes.append([-1, 0.0, 0, 0, depth + _expected(n)])
-        return len(nodes) - 1
-
-    def split(rows: np.ndarray, depth: int) -> int:
-        least, greatest = rows.min(axis=0), rows.max(axis=0)
-        open_ = np.flatnonzero(greatest > least)
-        if depth >= most or len(rows) < 2 or not len(open_):
-            return leaf(depth, len(rows))
-        f = int(rng.choice(open_))
-        cut = float(rng.uniform(least[f], greatest[f]))
-        low = rows[:, f] < cut
-        if not low.any():
-            return leaf(depth, len(rows))
+    def split(rows: np.ndarray, low: np.ndarray, high: np.ndarray, at: int) -> int:
+        open_ = np.flatnonzero(high > low)
         me = len(nodes)
+        if at >= depth or len(rows) < 2 or not len(open_):
+            nodes.append([-1, 0.0, 0, 0, at + _expected(len(rows))])
+            return me
+        f = int(rng.choice(open_))
+        cut = float(rng.uniform(low[f], high[f]))
         nodes.append([f, cut, 0, 0, 0.0])
-        nodes[me][2] = split(rows[low], depth + 1)
-        nodes[me][3] = split(rows[~low], depth + 1)
+        below = rows[:, f] < cut
+        under, over = high.copy(), low.copy()
+        under[f] = over[f] = cut
+        nodes[me][2] = split(rows[below], low, under, at + 1)
+        nodes[me][3] = split(rows[~below], over, high, at + 1)
         return me
 
-    roots = [split(x[rng.choice(len(x), min(sample, len(x)), replace=False)], 0) for _ in range(trees)] if len(x) else []
-    table = np.array(nodes) if nodes else np.zeros((0, 5))
+    low = x.min(axis=0) if low is None else low
+    high = x.max(axis=0) if high is None else high
+    roots = [split(x[rng.choice(len(x), min(sample, len(x)), replace=False)], low, high, 0) for _ in range(trees)]
+    table = np.array(nodes)
     return Forest(table[:, 0].astype(int), table[:, 1], table[:, 2].astype(int), table[:, 3].astype(int), table[:, 4], np.array(roots, int), max(_expected(min(sample, len(x))), 1e-9))
 
 
 def calibrate(forest: Forest, x: np.ndarray, good: np.ndarray, lost_good: float = LOST_GOOD) -> float:
     """The score above which a row goes: of all cuts that lose at most lost_good of the good rows, the one that tells
-    bad from good best (bad rows caught less good rows lost, as shares); 1, which keeps all, if none tells any."""
+    bad from good best (bad rows caught less good rows lost, as shares), midway to the next score; 1, which keeps all,
+    if none tells any. Rows of one score have one verdict."""
     score = forest.score(x)
     best, at = 0.0, 1.0
     goods, bads = np.sort(score[good]), np.sort(score[~good])
     if not len(goods) or not len(bads):
         return at
-    for cut in np.unique(score):
+    cuts = np.unique(score)
+    for cut, after in zip(cuts, cuts[1:]):
         lost = 1 - np.searchsorted(goods, cut, "right") / len(goods)
         caught = 1 - np.searchsorted(bads, cut, "right") / len(bads)
         if lost <= lost_good and caught - lost > best:
-            best, at = caught - lost, float(cut)
+            best, at = caught - lost, float(cut + after) / 2
     return at
 
 
 def fit(stats: DataFrame, labels: DataFrame, id_column: str = "doc_id", quality: str = "quality", rows: int = FIT_ROWS) -> Forest:
-    """A forest on at most rows labelled rows that pass the base rules, and its threshold, calibrated on their labels."""
+    """A forest on labelled rows of stats (_id and STATS) that pass the base rules, at most rows of them, and its threshold.
+
+    Every other row grows the forest, of which the good ones alone (all, if none is): anomalies are what differs from
+    them. The rest calibrate the threshold, so no row is judged by a forest that it grew.
+    """
     told = labels.where(F.col(quality).isNotNull() & F.col(id_column).isNotNull()).select(F.col(id_column).alias("_of"), F.col(quality).alias("_quality"))
     chosen = F.broadcast(told.orderBy(F.xxhash64("_of"), "_of", "_quality").limit(rows))  # at most FIT_ROWS rows of two numbers
-    sample = stats.where(~base_failed()).join(chosen, stats[id_column] == chosen["_of"]).select(*STATS, "_quality", "_of")
+    sample = stats.where(~base_failed()).join(chosen, stats["_id"] == chosen["_of"]).select(*STATS, "_quality", "_of")
     # repeated ids may make it larger than what was chosen
     table = sample.orderBy(F.xxhash64("_of"), *STATS, "_quality").limit(rows).toArrow()
-    if not table.num_rows:
-        return grow(np.zeros((0, len(STATS))))
-    x = features(np.column_stack([table[c].to_numpy() for c in STATS]))
-    forest = grow(x)
-    return Forest(**{**forest.__dict__, "threshold": calibrate(forest, x, table["_quality"].to_numpy() > 0)})
+    x = features(np.column_stack([table[c].to_numpy() for c in STATS]).reshape(-1, len(STATS)))
+    if len(x) < 2:
+        return grow(x[:0])
+    good = table["_quality"].to_numpy() > 0
+    grows = np.arange(len(x)) % 2 == 0
+    forest = grow(x[grows & good] if (grows & good).any() else x[grows], x.min(axis=0), x.max(axis=0))
+    return replace(forest, threshold=calibrate(forest, x[~grows], good[~grows]))
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -184,11 +196,11 @@ def judge(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: s
 
     Null and empty texts have no words and fail the base rules. Kept is false for what fails them, else whether the
     forest's score is at most the threshold; without labels of both kinds nothing else goes. Repeated rows come back
-    repeated; an empty table gives an empty one; other columns are ignored.
+    repeated; an empty table gives an empty one; other columns of either table are ignored. Texts of any length are
+    judged whole; a task holds one text's words at a time.
     """
     stats = written(statistics(docs.select(F.col(id_column).alias("_id"), F.col(text).alias("_text")), ("_id",), "_text"), "stats")
-    named = labels.withColumnRenamed(id_column, "_id")
-    shared = docs.sparkSession.sparkContext.broadcast(fit(stats, named, "_id"))  # of proven size: TREES trees of SAMPLE rows
+    shared = docs.sparkSession.sparkContext.broadcast(fit(stats, labels, id_column))  # of proven size: TREES trees of SAMPLE rows
 
     def scored(batches):
         forest = shared.value
