@@ -1,8 +1,10 @@
 """The corpus pipeline: five stages over ``documents``, each written as Parquet and read again.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the
-columns of ``documents``; the last adds ``copy``, the number of a document's copy in the mix. Columns beyond those of
-``documents`` pass through, null texts go with the first stage, and an empty table gives an empty one.
+columns of ``documents``; the last adds ``copy``, the number of a document's copy in the mix (``copy_2`` and so on where
+docs has a column of that name). Columns beyond those of ``documents`` pass through, of whatever type. Null, empty and
+letterless texts go with the first stage; rows that repeat are one row after the second; an empty table gives an empty
+one.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from severa.llm import decontaminate, langid, mixing, pii, simhash
-from severa.llm.common import fresh_folder, table
+from severa.llm.common import fresh_folder, scratch, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +57,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = fresh_folder(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):  # what a stage writes on its way goes with it
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
 
