@@ -13,11 +13,12 @@ from pyspark.sql import types as T
 #: 2^BITS hash buckets for the n-grams of all ORDERS together; the model has that many rows and a column per language.
 BITS = 16
 ORDERS = (1, 2, 3)
-#: Languages a model may have: bounds its size, 2^BITS x MOST_LANGUAGES float32.
-MOST_LANGUAGES = 512
 UNDETERMINED = "und"
-#: Code points scored at once.
-CHUNK = 1 << 20
+#: Code points whose n-grams are taken at once, of one text or of many, and cells of n-grams by languages.
+CHUNK = 1 << 16
+CELLS = 1 << 23
+#: Languages whose counts a learning task holds before it passes them on: 0.5 MB each.
+HELD_LANGUAGES = 64
 
 
 @functools.cache
@@ -46,77 +47,115 @@ def _codes(data: bytes) -> np.ndarray:
     return out[:-1] if out[-2] == 32 else out
 
 
-def _buckets(codes: np.ndarray, at: int = 0, upto: int | None = None) -> np.ndarray:
-    """The buckets of the n-grams of every order that start in at..upto and have a letter at their start or end."""
-    upto = len(codes) if upto is None else upto
-    found = [np.zeros(0, np.uint32)]
+def _grams(codes: np.ndarray, row: np.ndarray, upto: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, bucket) of the n-grams of every order that start in codes before upto, within a row, with a letter at their
+    start or end; sorted by row for each order alone."""
+    rows, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
     for n in ORDERS:
-        here = codes[at : upto + n - 1]
+        here = codes[: upto + n - 1]
         if len(here) < n:
             continue
         h = np.full(len(here) - n + 1, (0x9E3779B9 * n) & 0xFFFFFFFF, np.uint32)
         for i in range(n):
             h = (h ^ here[i : len(h) + i]) * np.uint32(0x85EBCA6B)
             h ^= h >> np.uint32(15)
-        some = (here[: len(h)] != 32) | (here[n - 1 :] != 32)
+        some = ((here[: len(h)] != 32) | (here[n - 1 :] != 32)) & (row[: len(h)] == row[n - 1 : len(h) + n - 1])
+        rows.append(row[: len(h)][some])
         found.append(h[some] >> np.uint32(32 - BITS))
-    return np.concatenate(found)
+    return np.concatenate(rows), np.concatenate(found).astype(np.int64)
 
 
-def _cells(data: bytes | None) -> np.ndarray:
-    """The text's n-gram counts by bucket; empty if it has no letter."""
-    codes = _codes(data) if data else np.zeros(0, np.uint32)
-    if (codes == 32).all():
-        return np.zeros(0, np.int64)
-    sums = np.zeros(1 << BITS, np.int64)
-    for at in range(0, len(codes), CHUNK):
-        sums += np.bincount(_buckets(codes, at, at + CHUNK), minlength=1 << BITS)
-    return sums
+def _pieces(texts):
+    """(row, bucket) of the n-grams of a column of texts, CHUNK code points at a time: many short texts, or a piece of a long one."""
+    held, rows, n = [], [], 0
+
+    def flushed():
+        return _grams(np.concatenate(held), np.concatenate(rows), n)
+
+    for i, data in enumerate(texts):
+        data = data.as_py()
+        codes = _codes(data) if data else np.zeros(0, np.uint32)
+        if not (codes != 32).any():
+            continue
+        if len(codes) > CHUNK:
+            for at in range(0, len(codes), CHUNK):
+                part = codes[at : at + CHUNK + max(ORDERS) - 1]
+                if (part[:CHUNK] != 32).any():
+                    yield _grams(part, np.full(len(part), i), min(CHUNK, len(codes) - at))
+            continue
+        held.append(codes)
+        rows.append(np.full(len(codes), i))
+        n += len(codes)
+        if n >= CHUNK:
+            yield flushed()
+            held, rows, n = [], [], 0
+    if n:
+        yield flushed()
 
 
 def _judged(texts, model) -> tuple[list[str], list[float]]:
-    """The language and score of each of a column of texts."""
+    """The language and score of each of a column of texts.
+
+    A batch is a sparse matrix: a row per text, an entry per n-gram. Its product with the log-probabilities is a gather
+    of their rows and a sum by text. Only texts with letters have n-grams.
+    """
     names, weights = model or ([], None)
-    best, score = [], []
-    for data in texts:
-        cells = _cells(data.as_py()) if names else np.zeros(0, np.int64)
-        if not len(cells):
-            best.append(UNDETERMINED)
-            score.append(0.0)
-            continue
-        used = np.flatnonzero(cells)  # a sparse row of counts times the matrix
-        total = cells[used].astype(np.float64) @ weights[used] + weights[-1]
-        odds = np.exp(total - total.max())
-        best.append(names[int(total.argmax())])
-        score.append(float(odds.max() / odds.sum()))
-    return best, score
+    total, seen = np.zeros((len(texts), max(1, len(names)))), np.zeros(len(texts), bool)
+    for rows, buckets in _pieces(texts) if names else ():
+        step = max(1, CELLS // len(names))
+        cuts = {0, len(rows), *range(0, len(rows), step), *(np.flatnonzero(rows[1:] != rows[:-1]) + 1).tolist()}
+        cuts = sorted(cuts)  # a row's n-grams, for each order alone, no more at once than CELLS allows
+        for at, upto in zip(cuts, cuts[1:]):
+            entries = weights.take(buckets[at:upto], axis=0).astype(np.float64)
+            total[rows[at]] += np.einsum("ij->j", entries)
+        seen[rows] = True
+    if not names:
+        return [UNDETERMINED] * len(texts), [0.0] * len(texts)
+    total += weights[-1]
+    odds = np.exp(total - total.max(axis=1, keepdims=True))
+    best, score = odds.argmax(axis=1), odds.max(axis=1) / odds.sum(axis=1)
+    return [names[k] if s else UNDETERMINED for k, s in zip(best.tolist(), seen.tolist())], np.where(seen, score, 0.0).tolist()
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray] | None:
     """(languages, log-probabilities by bucket and language, the last row the log prior), or None without a letter to learn from.
 
-    Counts cover all rows with a language and a text. Every task sums its n-grams into one matrix of fixed size, its
-    non-zero cells are summed in Spark, and what comes to the driver has at most 2^BITS cells a language.
+    Counts cover all rows with a language and a text. Every task sums its n-grams by language, passes on the cells that
+    aren't zero whenever it holds HELD_LANGUAGES, and Spark sums them. The model, which comes to the driver, has 2^BITS
+    cells of 4 bytes a language; the number of languages has no limit.
     """
     slim = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).cast("binary").alias("text"))
 
-    def counted(batches):
-        sums: dict[str, np.ndarray] = {}
-        for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = data.as_py()
-                if name not in sums:
-                    if len(sums) >= MOST_LANGUAGES:
-                        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-                    sums[name] = np.zeros((1 << BITS) + 1, np.int64)
-                cells = _cells(data)
-                if len(cells):
-                    sums[name][:-1] += cells
-                    sums[name][-1] += 1
+    def passed(sums):
         for name, cells in sums.items():
             at = np.flatnonzero(cells)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(cells[at])], names=["lang", "bucket", "n"])
 
+    def counted(batches):
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            names = batch.column(0).dictionary_encode()
+            of, names, seen = names.indices.to_numpy(), names.dictionary.to_pylist(), np.zeros(batch.num_rows, bool)
+            for rows, buckets in _pieces(batch.column(1)):
+                lang = of[rows].astype(np.uint16)  # a batch has fewer rows; so few bits sort fast
+                order = np.argsort(lang, kind="stable")
+                lang = lang[order]
+                new = np.unique(rows[~seen[rows]])
+                seen[new] = True
+                for k, part in zip(np.unique(lang).tolist(), np.split(buckets[order], np.flatnonzero(lang[1:] != lang[:-1]) + 1)):
+                    if names[k] not in sums:
+                        if len(sums) >= HELD_LANGUAGES:
+                            yield from passed(sums)
+                            sums = {}
+                        sums[names[k]] = np.zeros((1 << BITS) + 1, np.int64)
+                    cells = sums[names[k]]
+                    cells[-1] += (of[new] == k).sum()  # texts, each in its first piece
+                    if len(part) < 4096:
+                        np.add.at(cells, part, 1)
+                    else:
+                        cells[:-1] += np.bincount(part, minlength=1 << BITS)
+        yield from passed(sums)
+
     cells = slim.mapInArrow(counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = cells.toArrow()
     names = sorted(set(table["lang"].to_pylist()))

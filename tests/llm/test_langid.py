@@ -1,6 +1,9 @@
+import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from severa.llm import langid
 
@@ -20,16 +23,95 @@ def frame(spark, rows):
     return spark.createDataFrame([(*r, 0.5) for r in rows], "doc_id long, text string, lang string, score double")
 
 
-def test_ngrams_do_not_depend_on_chunks(monkeypatch):
-    data = ("Größe 12 été! " * 50).encode()
-    whole = langid._cells(data)
-    monkeypatch.setattr(langid, "CHUNK", 7)
-    assert (langid._cells(data) == whole).all()
+def cells(*texts):
+    out = {}
+    for rows, buckets in langid._pieces(pa.array([t.encode() for t in texts], pa.binary())):
+        for r, b in zip(rows.tolist(), buckets.tolist()):
+            out[r, b] = out.get((r, b), 0) + 1
+    return out
+
+
+def plain_grams(text):
+    """The buckets of a text's n-grams, one by one."""
+    low = [(c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in text]
+    s = " " + " ".join("".join(low).split()) + " "
+    out = []
+    for n in langid.ORDERS if s.strip() else ():
+        for i in range(len(s) - n + 1):
+            if s[i] != " " or s[i + n - 1] != " ":
+                h = (0x9E3779B9 * n) & 0xFFFFFFFF
+                for c in s[i : i + n]:
+                    h = ((h ^ ord(c)) * 0x85EBCA6B) & 0xFFFFFFFF
+                    h ^= h >> 15
+                out.append(h >> (32 - langid.BITS))
+    return out
+
+
+def plain_bayes(rows, held):
+    """Multinomial naive Bayes by its own words: {row number: (language, posterior)}."""
+    counts, docs = {}, {}
+    for i, (_, t, lang) in enumerate(rows):
+        grams = plain_grams(t or "")
+        if lang is not None and grams and not held[i]:
+            docs[lang] = docs.get(lang, 0) + 1
+            own = counts.setdefault(lang, {})
+            for g in grams:
+                own[g] = own.get(g, 0) + 1
+    names = sorted(docs)
+    total = {x: sum(counts[x].values()) + 0.5 * (1 << langid.BITS) for x in names}
+    prior = {x: np.float32(math.log((docs[x] + 1) / (sum(docs.values()) + len(names)))) for x in names}
+    out = {}
+    for i, (_, t, _) in enumerate(rows):
+        grams = plain_grams(t or "")
+        if not grams or not names:
+            out[i] = ("und", 0.0)
+            continue
+        odds = {x: float(prior[x]) + sum(float(np.float32(math.log((counts[x].get(g, 0) + 0.5) / total[x]))) for g in grams) for x in names}
+        most = max(odds.values())
+        best = next(x for x in names if odds[x] == most)
+        out[i] = (best, 1 / sum(math.exp(o - most) for o in odds.values()))
+    return out
+
+
+@pytest.mark.parametrize("chunk", [3, 7, 64])
+def test_ngrams_do_not_depend_on_chunks(monkeypatch, chunk):
+    texts = ["Größe 12 été! " * 9, "", "a", "12 34", "x y  z ", "ein Haus " * 4]
+    want = {}
+    for i, t in enumerate(texts):
+        for g in plain_grams(t):
+            want[i, g] = want.get((i, g), 0) + 1
+    assert cells(*texts) == want
+    monkeypatch.setattr(langid, "CHUNK", chunk)
+    assert cells(*texts) == want
 
 
 def test_letters():
     assert "".join(map(chr, langid._codes("  Ab1!É–ß２x".encode()))) == " ab é ß x "
-    assert not len(langid._cells(b"12 !?")) and not len(langid._cells(None)) and not len(langid._cells("١٢ …".encode()))
+    assert not cells("12 !?", "", "١٢ …")
+
+
+def test_equals_plain_naive_bayes(spark, monkeypatch):
+    monkeypatch.setattr(langid, "CELLS", 500)
+    rng = np.random.default_rng(8)
+    letters = {"en": "eeetaoinshr", "de": "eenisratdhu", "fr": "eesaitnrulo"}  # close to each other, so that scores differ from 1
+    rows = [(i, "".join(rng.choice([*letters[x], " "], rng.integers(1, 12))), x) for i, x in enumerate(rng.choice([*letters], 300).tolist())]
+    rows += [(900, None, "en"), (901, "", "de"), (902, "12", "fr"), (903, "tie", None), (904, "eta on " * 3000, "en")]
+    held = [zlib.crc32(str(i).encode()) % 5 == 0 for i, *_ in rows]
+    want = plain_bayes(rows, held)
+    got = {r.doc_id: r for r in langid.identify(frame(spark, rows)).collect()}
+    assert sum(0.4 < p < 0.99 for _, p in want.values()) > 60
+    for k, (i, *_) in enumerate(rows):
+        assert got[i].lang_pred == want[k][0] and abs(got[i].score - want[k][1]) < 1e-6
+        assert got[i].held_out == held[k]
+
+
+def test_many_languages(spark):
+    """More languages than a task holds, in one partition: all are learned."""
+    rows = [(i, f"{chr(0x4E00 + i)}{chr(0x4E00 + i)} {chr(0x4E00 + i)}", f"l{i:04}") for i in range(900)]
+    model = langid.train(frame(spark, rows).coalesce(1))
+    assert len(model[0]) == 900
+    judged = langid._judged(pa.array([t.encode() for _, t, _ in rows[::100]], pa.binary()), model)
+    assert judged[0] == [x for *_, x in rows[::100]]
 
 
 def test_held_out_accuracy(spark):
