@@ -18,7 +18,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from severa.llm.common import fresh_folder, written
+from severa.llm.common import dealt, fresh_folder, written
 
 #: Payloads of fewer bytes are never revisits.
 LEAST_SHARED = 1000
@@ -182,9 +182,10 @@ def normalise(spark: SparkSession, folder: str, out: str) -> DataFrame:
 
 
 def spans(index: DataFrame) -> DataFrame:
-    """Ranges of whole records of about SPAN_BYTES: archive, first (offset) and upto."""
+    """Ranges of whole records of about SPAN_BYTES: archive, first (offset) and lengths, those of its members in order."""
     part = F.floor(F.col("offset") / SPAN_BYTES).alias("part")
-    return index.groupBy("archive", part).agg(F.min("offset").alias("first"), F.max(F.col("offset") + F.col("length")).alias("upto"))
+    members = F.array_sort(F.collect_list(F.struct("offset", "length"))).alias("members")
+    return index.groupBy("archive", part).agg(members).select("archive", F.col("members")[0]["offset"].alias("first"), F.col("members.length").alias("lengths"))
 
 
 def read(index: DataFrame, folder: str) -> DataFrame:
@@ -198,16 +199,16 @@ def read(index: DataFrame, folder: str) -> DataFrame:
     def told(batches):
         store, _ = fs.FileSystem.from_uri(folder)
         for batch in batches:
-            for path, first, upto in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for path, first, lengths in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 with store.open_input_file(path) as f:
-                    data = f.read_at(upto - first, first)
-                rows, held = [], 0
-                while data:
-                    inflater = zlib.decompressobj(31)
-                    record = bytearray(inflater.decompress(data))
-                    if not inflater.eof:
-                        raise ValueError(f"{path}: a member is cut off")
-                    data = inflater.unused_data
+                    data = f.read_at(sum(lengths), first)
+                rows, held, at = [], 0, 0
+                for length in lengths:  # the index tells where each member ends
+                    try:
+                        record = bytearray(zlib.decompress(data[at : at + length], 31))
+                    except zlib.error as e:
+                        raise ValueError(f"{path}: a member is cut off") from e
+                    at += length
                     _, headers = _cut(record, 0)
                     block = bytes(record[record.find(b"\r\n\r\n") + 4 : -4])
                     http, _, payload = block.partition(b"\r\n\r\n")
@@ -223,9 +224,8 @@ def read(index: DataFrame, folder: str) -> DataFrame:
                 if rows:
                     yield _batch(rows)
 
-    ranges = spans(index).select("archive", "first", "upto")
-    # each range is a task's work: dealt by its own key, not by archive
-    return ranges.repartition(F.col("archive"), F.col("first")).mapInArrow(told, schema)
+    ranges = written(spans(index), "spans")
+    return dealt(ranges, "archive", "first").mapInArrow(told, schema)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -237,7 +237,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def archive(pages: DataFrame, out: str | None = None) -> tuple[DataFrame, str]:
     """Writes pages (page_id, url, html) as normalised archives; their index and folder.
 
-    Nulls: html is an empty payload, url leaves the target out, page_id an identifier without a number. Rows that
+    Payloads of any length are whole records; a task holds the one it works on and, reading, a range of SPAN_BYTES. Nulls: html is an empty payload, url leaves the target out, page_id an identifier without a number. Rows that
     repeat a page_id are records of their own. Other columns are ignored; an empty table gives no archive.
     """
     spark = pages.sparkSession

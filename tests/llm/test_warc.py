@@ -65,6 +65,28 @@ def test_small_spans(spark, monkeypatch):
     assert digest(warc.read(index, folder)) == brute(PAGES)
 
 
+def test_reading_takes_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(warc, "SPAN_BYTES", 64)
+    index, folder = warc.archive(frame(spark, PAGES))
+    tasks = warc.read(index, folder).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks >= min(8, warc.spans(index).count() // 2)
+
+
+def test_reading_takes_time_by_records(spark):
+    """A span of four times the records takes about four times as long."""
+    import time
+
+    took = []
+    for n in (1000, 4000, 16000):
+        pages = spark.range(n).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.col("id").cast("string"), F.lit("x" * 1500)).alias("html"))
+        index, folder = warc.archive(pages.coalesce(1))
+        assert warc.spans(index).count() == 1
+        began = time.perf_counter()
+        assert warc.read(index, folder).drop("payload").count() == n
+        took.append(time.perf_counter() - began)
+    assert took[2] - took[0] < 8 * max(took[1] - took[0], 0.3)
+
+
 def test_truncated(spark, tmp_path):
     (tmp_path / "in").mkdir()
     record = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 50\r\n\r\nshort\r\n\r\n"
