@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from severa.llm.common import fresh_folder, written
+from severa.llm.common import dealt, fresh_folder, written
 
 #: The vocabulary's place is a parameter; the file stays where it is.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -50,6 +50,8 @@ def write(docs: DataFrame, folder: str, id_column: str = "doc_id", text: str = "
 
     def flat(batches):
         encoding = _encoding(vocabulary)
+        if not encoding.n_vocab <= separator < 1 << 16:
+            raise ValueError(f"separator {separator} has to be beyond the {encoding.n_vocab} tokens of the vocabulary and within 16 bits")
         store, top = _store(folder)
         store.create_dir(top, recursive=True)
         path = f"{top}/tokens-{TaskContext.get().partitionId():05d}.bin"
@@ -112,8 +114,8 @@ def scan(spark: SparkSession, folder: str, separator: int = SEPARATOR, block_byt
                     names=["path", "first", "tokens", "n", "last", "at"],
                 )
 
-    whole = blocks(spark, folder, block_bytes)
-    found = whole.repartition(F.col("path"), F.col("first")).mapInArrow(searched, "path string, first long, tokens long, n long, last long, at array<long>")
+    whole = written(blocks(spark, folder, block_bytes), "blocks")
+    found = dealt(whole, "path", "first").mapInArrow(searched, "path string, first long, tokens long, n long, last long, at array<long>")
     found = written(found, "separators")
     here = Window.partitionBy("path").orderBy("first")
     before = here.rowsBetween(Window.unboundedPreceding, -1)

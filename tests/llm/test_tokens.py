@@ -30,6 +30,23 @@ def test_scan(spark, tmp_path, block):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_blocks_are_many_tasks(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    put(tmp_path / "t", "a.bin", list(range(84)))
+    seen = []
+    monkeypatch.setattr(tokens, "dealt", lambda *a, f=tokens.dealt: (seen.append(f(*a)), seen[-1])[1])
+    tokens.scan(spark, f"file://{tmp_path}/t", separator=9, block_bytes=2).count()
+    assert seen[0].select(F.spark_partition_id().alias("p")).distinct().count() > 40
+
+
+def test_separator_has_to_be_free(spark):
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    for bad in (7, 1 << 16):
+        with pytest.raises(Exception, match="separator"):
+            tokens.write(docs, tokens.fresh_folder(spark, "x"), separator=bad)
+
+
 def test_no_files(spark, tmp_path):
     assert tokens.scan(spark, f"file://{tmp_path}/none").count() == 0
 
