@@ -1,4 +1,4 @@
-"""Command line: run strategies, aggregate results, generate instances, convert exports."""
+"""Command line: run strategies, aggregate and plot results, generate instances, convert and prepare exports."""
 
 from __future__ import annotations
 
@@ -16,6 +16,7 @@ def _uri(path: str) -> str:
 
 
 def _run(spark: SparkSession, a: argparse.Namespace) -> None:
+    from severa.functions import durable
     from severa.operators import instance, reduction, runs
     from severa.sources import csv_graph
 
@@ -24,9 +25,29 @@ def _run(spark: SparkSession, a: argparse.Namespace) -> None:
         graph = instance.indexed(csv_graph.load(spark, _uri(folder)))
         rows = runs.packed(reduction.prune(graph) if a.prune else graph, folder.rstrip("/").rsplit("/", 1)[-1])
         packed = rows if packed is None else packed.union(rows)
-    done = spark.read.parquet(_uri(a.out)) if a.resume and csv_graph._exists(spark, _uri(a.out)) else None
-    found = runs.run(packed, tuple(x for x in a.algs.split(",") if x), tuple(float(x) for x in a.fracs.split(",")), a.lp_bound, done, a.ip_time_limit, a.ip_max_nodes)
-    found.write.mode("append" if a.resume else "overwrite").parquet(_uri(a.out))
+    rows = _uri(f"{a.out}.rows")  # each as soon as it is found
+    if not a.resume:
+        durable.remove(spark, rows)
+    done = runs.finished(spark, rows) if a.resume else None
+    limit = a.ip_time_limit if a.ip_time_limit > 0 else None
+    runs.run(packed, tuple(x for x in a.algs.split(",") if x), tuple(float(x) for x in a.fracs.split(",")), a.lp_bound, done, limit, a.ip_max_nodes, rows).write.format("noop").mode("overwrite").save()
+    runs.finished(spark, rows).write.mode("overwrite").parquet(_uri(a.out))
+
+
+def _plot(spark: SparkSession, a: argparse.Namespace) -> None:
+    from severa.operators import report
+
+    table = report.summary(report.concatenated(*[spark.read.parquet(_uri(p)) for p in a.raw])).cache()
+    made = {"risk": report.plot_risk(table), "gap": report.plot_gap(table), "time": report.plot_time(table, a.frac), "ablation": report.plot_ablation(table)}
+    for name, df in made.items():
+        df.coalesce(1).write.mode("overwrite").option("header", True).csv(_uri(f"{a.out}/{name}.csv"))
+
+
+def _prepare(spark: SparkSession, a: argparse.Namespace) -> None:
+    from severa.sources import generators
+
+    made = [generators.prepare(spark, _uri(a.path), _uri(a.out), seed, a.share) for seed in generators.seeds_of(a.seeds)]
+    spark.createDataFrame(made).coalesce(1).write.mode("overwrite").option("header", True).csv(_uri(f"{a.out}/manifest.csv"))
 
 
 def _aggregate(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -69,7 +90,7 @@ def main(args: list[str] | None = None) -> None:
     run.add_argument("data", nargs="+")
     run.add_argument("--algs", default="A,B2,C,D")
     run.add_argument("--fracs", default="0.05,0.1,0.25,0.5,0.75")
-    run.add_argument("--ip-time-limit", type=float, default=300)
+    run.add_argument("--ip-time-limit", type=float, default=300, help="seconds for C; 0: until its optimum is proven")
     run.add_argument("--ip-max-nodes", type=int, default=3000)
     run.add_argument("--lp-bound", action="store_true")
     run.add_argument("--resume", action="store_true")
@@ -80,6 +101,11 @@ def main(args: list[str] | None = None) -> None:
     agg.add_argument("raw", nargs="+")
     agg.add_argument("--out", required=True)
     agg.set_defaults(do=_aggregate)
+    plot = sub.add_parser("plot", help="tables of what the published plots show")
+    plot.add_argument("raw", nargs="+")
+    plot.add_argument("--frac", type=float, default=0.5)
+    plot.add_argument("--out", required=True)
+    plot.set_defaults(do=_plot)
     gen = sub.add_parser("generate")
     gen.add_argument("family", choices=["typed", "layered", "two_routes"])
     gen.add_argument("--n", type=int, default=1000)
@@ -87,6 +113,12 @@ def main(args: list[str] | None = None) -> None:
     gen.add_argument("--seeds", default="0-4")
     gen.add_argument("--out", required=True)
     gen.set_defaults(do=_generate)
+    pre = sub.add_parser("prepare", help="annotate an export by policy, a seed at a time")
+    pre.add_argument("path")
+    pre.add_argument("--seeds", default="1-5")
+    pre.add_argument("--share", type=float, default=0.1)
+    pre.add_argument("--out", required=True)
+    pre.set_defaults(do=_prepare)
     con = sub.add_parser("convert")
     con.add_argument("path")
     for name in ("entries", "targets", "tier0", "wellknown"):

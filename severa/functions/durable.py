@@ -12,7 +12,8 @@ import uuid
 from contextlib import contextmanager
 from weakref import WeakKeyDictionary
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 _folders: set[str] = set()
@@ -68,6 +69,13 @@ def scratch(spark: SparkSession):
             remove(spark, folder)
 
 
+def counted(df: DataFrame, what: str = "table", instead: tuple[DataFrame, ...] = ()) -> tuple[DataFrame, int]:
+    """written(), and the number of its rows as the writers saw it: no job counts them again."""
+    seen = Observation()
+    out = written(df.observe(seen, F.count(F.lit(1)).alias("n")), what, instead)
+    return out, seen.get["n"]
+
+
 def written(df: DataFrame, what: str = "table", instead: tuple[DataFrame, ...] = ()) -> DataFrame:
     """df as a Parquet table, read back. The written tables in instead, which nothing needs any more, are removed."""
     spark = df.sparkSession

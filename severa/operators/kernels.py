@@ -383,7 +383,7 @@ def contract(r: Reduced, rep: np.ndarray, keep: np.ndarray | None = None) -> Red
     return Reduced(made, through(r.node, new), through(r.edge, edge), r.rounds)
 
 
-def reduce(net: Net, rules=("R1", "R2", "R3", "R4"), most_rounds: int = 50) -> Reduced:
+def reduce(net: Net, rules=("R1", "R2", "R3", "R4")) -> Reduced:
     """A smaller net with the same optimum for every budget.
 
     R1 keeps nodes on ways from entries to targets. R2 merges what fixed edges connect strongly. R3 merges nodes that
@@ -394,8 +394,10 @@ def reduce(net: Net, rules=("R1", "R2", "R3", "R4"), most_rounds: int = 50) -> R
     if "R1" in rules:
         lit = forward(net, net.whole()).swept(net.entries()) & backward(net, net.whole()).swept(net.targets())
         r = contract(r, np.arange(net.n), lit)
-    for r.rounds in range(1, most_rounds + 1):
+    before = None
+    while before != (r.net.n, r.net.m):
         before = r.net.n, r.net.m
+        rounds = r.rounds + 1
         if "R2" in rules:
             fixed = ~r.net.free
             r = contract(r, components(r.net.n, r.net.src[fixed], r.net.dst[fixed]))
@@ -405,8 +407,7 @@ def reduce(net: Net, rules=("R1", "R2", "R3", "R4"), most_rounds: int = 50) -> R
         if "R4" in rules:
             for inward in (True, False):
                 r = contract(r, lone(r.net, inward))
-        if before == (r.net.n, r.net.m):
-            break
+        r.rounds = rounds
     return r
 
 
@@ -531,13 +532,16 @@ def lp_bound(net: Net, budget: int, there: np.ndarray | None = None, steps: int
     return max(0.0, best), fractions
 
 
-def exact(net: Net, budget: int, seconds: float = 60.0, most_nodes: int = 200_000, start: np.ndarray | None = None) -> tuple[np.ndarray, str, float]:
+def exact(net: Net, budget: int, seconds: float | None = None, most_nodes: int | None = None, start: np.ndarray | None = None) -> tuple[np.ndarray, str, float]:
     """(edges still there, `optimal` or `feasible`, risk): branch and bound over removals.
 
+    It runs to the proof unless it is given a limit: of nodes, with which reruns agree, or of seconds, with which they
+    may not. A search that was cut short says `feasible`.
+
     A node's lower bound is the risk if every undecided edge it can pay for were gone. It branches on the undecided
     edge of greatest single gain, or that which most of the bound hangs on; the branch that removes comes first.
     """
-    ends = time.monotonic() + seconds
+    ends = None if seconds is None else time.monotonic() + seconds
     best_there = net.whole() if start is None else start.copy()
     best = risk(net, best_there)
     lit = forward(net, net.whole()).swept(net.entries()) & backward(net, net.whole()).swept(net.targets())
@@ -547,7 +551,7 @@ def exact(net: Net, budget: int, seconds: float = 60.0, most_nodes: int = 200_00
     while stack:
         there, open_, left = stack.pop()
         visited += 1
-        if visited > most_nodes or time.monotonic() > ends:
+        if (most_nodes is not None and visited > most_nodes) or (ends is not None and time.monotonic() > ends):
             status = "feasible"
             break
         open_ = open_ & (net.cost <= left)

@@ -7,41 +7,70 @@ number of rounds is the depth of the graph, whatever the number of questions.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from severa.functions.durable import written
+from severa.functions.durable import counted, written
 from severa.operators.instance import Indexed
 
 #: Rounds after which the pieces of the state become one table again.
 COMPACT = 16
+#: Starts that share a row of state.
+BITS = 63
 
 
-def expand(seed: DataFrame, edges: DataFrame, removed: DataFrame | None = None, most_rounds: int = 100_000) -> DataFrame:
+def expand(seed: DataFrame, edges: DataFrame, removed: DataFrame | None = None) -> DataFrame:
     """All (scenario, target, node, depth) that are reached from seed (scenario, target, node) along edges (src, dst, edge_id).
 
     removed (scenario, edge_id) are missing in their scenario. depth is the number of edges of a shortest path. Each
     round is a join of the last frontier with the edges, a distinct and an anti-join with what is known; it is written,
-    so a lost executor costs a round at most. It ends with an empty frontier.
+    so a lost executor costs a round at most. It ends with an empty frontier, after as many rounds as it takes.
     """
     keys = ["scenario", "target", "node"]
     frontier = written(seed.select(*keys).distinct().withColumn("depth", F.lit(0)), "frontier")
     pieces = [frontier]
     e = edges.select(F.col("src").alias("node"), F.col("dst").alias("_next"), "edge_id")
-    for depth in range(1, most_rounds):
+    for depth in count(1):
         step = frontier.select(*keys).join(e, "node")
         if removed is not None:
             step = step.join(removed.select("scenario", "edge_id"), ["scenario", "edge_id"], "left_anti")
         seen = reduce(DataFrame.union, pieces)
         step = step.select("scenario", "target", F.col("_next").alias("node")).distinct().join(seen, keys, "left_anti")
-        frontier = written(step.withColumn("depth", F.lit(depth)), "frontier")
-        if frontier.isEmpty():
-            break
+        frontier, n = counted(step.withColumn("depth", F.lit(depth)), "frontier")
+        if not n:
+            return reduce(DataFrame.union, pieces)
         pieces.append(frontier)
         if len(pieces) > COMPACT:
-            pieces = [written(reduce(DataFrame.union, pieces), "reach")]
-    return reduce(DataFrame.union, pieces)
+            pieces = [written(reduce(DataFrame.union, pieces), "reach", tuple(pieces[:-1]))]
+
+
+def weights_that_reach(starts: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, total): of every node that starts (node_id, weight) reach, the sum of the weights of those that do.
+
+    Starts stand in blocks of BITS, and a node's state is a set of bits for each block that reaches it: a row stands for
+    up to BITS pairs, and a round joins only the sets that grew, or-s them by node and keeps what is new.
+    """
+    order = Window.orderBy("node_id")  # starts are few beside nodes; only their ids and weights are numbered
+    placed = written(starts.select("node_id", "weight", (F.row_number().over(order) - 1).alias("_n")), "starts")
+    block, bit = F.floor(F.col("_n") / BITS).cast("long").alias("block"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("_n") % BITS).cast("int"))
+    fresh = written(placed.select(block, F.col("node_id").alias("node"), bit.alias("bits")), "fresh")
+    state = fresh
+    e = edges.select(F.col("src").alias("node"), F.col("dst").alias("_next"))
+    while True:
+        sent = fresh.join(e, "node").groupBy("block", F.col("_next").alias("node")).agg(F.bit_or("bits").alias("bits"))
+        known = state.select("block", "node", F.col("bits").alias("had"))
+        grown = sent.join(known, ["block", "node"], "left").select("block", "node", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("had", F.lit(0).cast("long")))).alias("bits"))
+        after, n = counted(grown.where("bits <> 0"), "fresh")
+        if not n:
+            break
+        state = written(state.union(after).groupBy("block", "node").agg(F.bit_or("bits").alias("bits")), "bits", () if state is fresh else (state,))
+        fresh = after
+    weights = placed.groupBy(block).agg(F.array_sort(F.collect_list(F.struct("_n", "weight"))).alias("all"))
+    held = lambda x: F.call_function("bit_get", F.col("bits"), (x["_n"] % BITS).cast("int")) == 1
+    total = F.aggregate(F.filter("all", held), F.lit(0.0), lambda acc, x: acc + x["weight"])
+    return state.join(weights, "block").groupBy("node").agg(F.sum(total).alias("total"))
 
 
 def scenarios_of(df: DataFrame) -> DataFrame:
@@ -139,12 +168,12 @@ def scenario_gains(graph: Indexed, candidates: DataFrame) -> DataFrame:
 def hub_scores(graph: Indexed, most: int = 10) -> DataFrame:
     """(node_id, score): the top hubs by entry weight that reaches them times target value that they reach.
 
-    Entries and targets are no hubs; ties go to the smaller id. Two batches of rounds: from every entry forward and
-    from every target backward.
+    Entries and targets are no hubs; ties go to the smaller id. Two batches of rounds: from the entries forward and
+    from the targets backward.
     """
-    seed = graph.entries().select(F.lit(0).cast("long").alias("scenario"), F.col("node_id").alias("target"), F.col("node_id").alias("node"))
-    into = expand(seed, graph.edges).join(graph.entries().withColumnRenamed("node_id", "target"), "target").groupBy("node").agg(F.sum("weight").alias("w"))
-    out = target_reach(graph).join(graph.targets().withColumnRenamed("node_id", "target"), "target").groupBy("node").agg(F.sum("value").alias("v"))
+    into = weights_that_reach(graph.entries(), graph.edges).withColumnRenamed("total", "w")
+    back = graph.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    out = weights_that_reach(graph.targets().withColumnRenamed("value", "weight"), back).withColumnRenamed("total", "v")
     plain = graph.nodes.where("entry_weight <= 0 and target_value <= 0").select(F.col("node_id").alias("node"))
     score = into.join(out, "node").join(plain, "node", "left_semi").select(F.col("node").alias("node_id"), (F.col("w") * F.col("v")).alias("score"))
     return score.where("score > 0").orderBy(F.desc("score"), "node_id").limit(most)

@@ -114,12 +114,13 @@ def lone(graph: Indexed, inward: bool) -> DataFrame:
         parent = after
 
 
-def reduce(graph: Indexed, rules=("R1", "R2", "R3", "R4"), most_rounds: int = 20) -> Indexed:
-    """R1 once, then R2 to R4 until none applies."""
+def reduce(graph: Indexed, rules=("R1", "R2", "R3", "R4")) -> Indexed:
+    """R1 once, then R2 to R4 until none applies; each that does leaves fewer nodes."""
     if "R1" in rules:
         graph = prune(graph)
     steps = {"R2": [fixed_components], "R3": [twins], "R4": [lambda g: lone(g, True), lambda g: lone(g, False)]}
-    for _ in range(most_rounds):
+    changed = True
+    while changed:
         changed = False
         for rule, makes in steps.items():
             for make in makes if rule in rules else []:
@@ -127,8 +128,6 @@ def reduce(graph: Indexed, rules=("R1", "R2", "R3", "R4"), most_rounds: int = 20
                     graph, changed = contract(graph, reps), True
                     if rule != "R3":
                         break
-        if not changed:
-            break
     return graph
 
 

@@ -68,6 +68,13 @@ def plot_risk(table: DataFrame) -> DataFrame:
     return table.select("group", "alg", "budget_frac", F.col("risk_ratio_mean").alias("y"), F.col("risk_ratio_std").alias("err"), "n_mean")
 
 
+def plot_ablation(table: DataFrame) -> DataFrame:
+    """plot_risk() of D and its ablations; empty unless there are two of them."""
+    some = table.where("alg = 'D' or alg like 'D-%'")
+    kinds = some.agg(F.count_distinct("alg").alias("kinds"))
+    return plot_risk(some.join(F.broadcast(kinds)).where("kinds > 1"))  # one row
+
+
 def plot_gap(table: DataFrame) -> DataFrame:
     """The gap to the optimum of groups that have one, else the gap to the bound."""
     some = table.where("alg not in ('LB', 'C')")

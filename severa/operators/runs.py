@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import time
+import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from severa.functions.durable import written
 from severa.operators import kernels, strategies
 from severa.operators.instance import Indexed
 from severa.operators.kernels import Net
@@ -113,39 +117,67 @@ def budget_of(frac: float, lam: float) -> int:
     return max(1, int(frac * lam)) if lam and np.isfinite(lam) else 0
 
 
-def run(packed_rows: DataFrame, algs=("A", "B2", "C", "D"), fracs=FRACTIONS, bound: bool = True, done: DataFrame | None = None, seconds: float = 60.0, exact_nodes: int = EXACT_NODES) -> DataFrame:
+def left_to_do(runs: DataFrame, done: DataFrame) -> DataFrame:
+    """runs (instance, budget_frac, alg) without those that results (dataset, budget_frac, alg) have."""
+    return runs.join(done.select(F.col("dataset").alias("instance"), "budget_frac", "alg"), ["instance", "budget_frac", "alg"], "left_anti")
+
+
+PREPARED = "instance string, risk0 double, lambda double, red_n long, red_m long, red_time double"
+
+
+def prepared(packed_rows: DataFrame) -> DataFrame:
+    """What all runs of an instance share, found once for each that has a risk: its risk, λ and the reduced graph's size."""
+
+    def one(key, rows: pd.DataFrame) -> pd.DataFrame:
+        net, _ = _net(rows)
+        began = time.perf_counter()
+        small = kernels.reduce(net)
+        took = time.perf_counter() - began
+        return pd.DataFrame({"instance": [key[0]], "risk0": [kernels.risk(net)], "lambda": [float(kernels.global_cut(net)[0])], "red_n": [small.net.n], "red_m": [small.net.m], "red_time": [took]})
+
+    return packed_rows.groupBy("instance").applyInPandas(one, PREPARED).where("risk0 > 0")
+
+
+def _keep(folder: str, row: dict) -> None:
+    """Writes a result row to a file of its own, under its own name once it is whole."""
+    store, top = fs.FileSystem.from_uri(folder)
+    store.create_dir(top, recursive=True)
+    name = hashlib.sha1(f"{row['dataset']}|{row['budget_frac']}|{row['alg']}".encode()).hexdigest()
+    plain = {k: v.item() if isinstance(v, np.generic) else v for k, v in row.items()}
+    temporary = f"{top}/_{name}-{uuid.uuid4().hex}"  # readers pass over such names
+    with store.open_output_stream(temporary) as f:
+        f.write(json.dumps(plain).encode() + b"\n")
+    store.move(temporary, f"{top}/{name}.json")
+
+
+def run(packed_rows: DataFrame, algs=("A", "B2", "C", "D"), fracs=FRACTIONS, bound: bool = True, done: DataFrame | None = None, seconds: float | None = None, exact_nodes: int = EXACT_NODES, keep: str | None = None) -> DataFrame:
     """Raw result rows (RAW) of every instance, budget and strategy, and the bound as LB; each its own task.
 
     Budgets are fractions of the instance's λ, at least 1, or 0 where λ is 0. Instances without risk give no rows,
-    nor does C where the reduced graph is large. done (dataset, budget_frac, alg) are left out: a run can resume.
+    nor does C where the reduced graph is large. done (dataset, budget_frac, alg) are left out: a run can resume. With
+    keep, a folder that driver and executors share, every row is a file there as soon as it is found; finished() reads
+    them, also those of a run that was killed. seconds limits C; it proves its optimum if there is no limit.
     """
     unknown = set(algs) - set(strategies.STRATEGIES)
     if unknown:
         raise ValueError(f"unknown strategies: {sorted(unknown)}")
     spark = packed_rows.sparkSession
     todo = spark.createDataFrame([(float(f), a) for f in fracs for a in (*algs, *(["LB"] if bound else []))], "budget_frac double, alg string")
-    runs = packed_rows.select("instance").distinct().join(F.broadcast(todo))  # a few rows a run
+    shared = written(prepared(packed_rows), "prepared")
+    runs = shared.join(F.broadcast(todo)).where(~((F.col("alg") == "C") & (F.col("red_n") > exact_nodes)))  # a few rows an instance
     if done is not None:
-        runs = runs.join(done.select(F.col("dataset").alias("instance"), "budget_frac", "alg"), ["instance", "budget_frac", "alg"], "left_anti")
-    names = RAW_NAMES
+        runs = left_to_do(runs, done)
 
     def one(key, rows: pd.DataFrame) -> pd.DataFrame:
         name, frac, alg = key
         net, ids = _net(rows)
-        risk0 = kernels.risk(net)
-        if risk0 <= 0:
-            return pd.DataFrame({c: [] for c in names})
-        began = time.perf_counter()
-        small = kernels.reduce(net)
-        reduced = time.perf_counter() - began
-        if alg == "C" and small.net.n > exact_nodes:
-            return pd.DataFrame({c: [] for c in names})
-        lam = kernels.global_cut(net)[0]
-        budget = budget_of(frac, lam)
-        row = {"dataset": name, "n": net.n, "m": net.m, "m_deletable": int(net.free.sum()), "n_entries": len(net.entries()), "n_targets": len(net.targets()), "red_n": small.net.n, "red_m": small.net.m, "red_time": reduced, "lambda": float(lam), "budget_frac": frac, "budget": budget, "alg": alg, "risk0": risk0}
+        told = rows.iloc[0]
+        risk0 = float(told.risk0)
+        budget = budget_of(frac, float(told["lambda"]))
+        row = {"dataset": name, "n": net.n, "m": net.m, "m_deletable": int(net.free.sum()), "n_entries": len(net.entries()), "n_targets": len(net.targets()), "red_n": int(told.red_n), "red_m": int(told.red_m), "red_time": float(told.red_time), "lambda": float(told["lambda"]), "budget_frac": frac, "budget": budget, "alg": alg, "risk0": risk0}
         began = time.perf_counter()
         if alg == "LB":
-            low, _ = kernels.lp_bound(small.net, budget)
+            low, _ = kernels.lp_bound(kernels.reduce(net).net, budget)
             row |= {"time": time.perf_counter() - began, "risk": low, "risk_ratio": low / risk0, "status": "certified", "removed": []}
         else:
             solve = strategies.STRATEGIES[alg]
@@ -157,15 +189,28 @@ def run(packed_rows: DataFrame, algs=("A", "B2", "C", "D"), fracs=FRACTIONS, bou
             pairs, far = _distances(net, there)
             left = kernels.risk(net, there)
             row |= {"cost": cost, "risk": left, "risk_ratio": left / risk0, "reach_pair_frac": pairs / (len(net.entries()) * len(net.targets())), "mean_dist": far / pairs if pairs else None, "status": notes.get("status", ""), "removed": ids[~there].tolist()}
-        return pd.DataFrame({c: [row.get(c)] for c in names})
+        if keep:
+            _keep(keep, row)
+        return pd.DataFrame({c: [row.get(c)] for c in RAW_NAMES})
 
     sent = packed_rows.join(runs, "instance")
     schema = ", ".join(x for x in RAW.split(", ") if x.split()[0] not in ("group", "seed"))
-    told = sent.groupBy("instance", "budget_frac", "alg").applyInPandas(one, schema)
+    return _grouped(sent.groupBy("instance", "budget_frac", "alg").applyInPandas(one, schema))
+
+
+def _grouped(told: DataFrame) -> DataFrame:
     group, seed = name_parts(F.col("dataset"))
     return told.withColumn("group", group).withColumn("seed", seed).select(*[x.split()[0] for x in RAW.split(", ")])
 
 
+def finished(spark: SparkSession, folder: str) -> DataFrame:
+    """The result rows that runs kept in folder, of runs that ended and of runs that were killed."""
+    schema = ", ".join(x for x in RAW.split(", ") if x.split()[0] not in ("group", "seed"))
+    store, top = fs.FileSystem.from_uri(folder)
+    store.create_dir(top, recursive=True)
+    return _grouped(spark.read.schema(schema).json(folder))
+
+
 RAW_NAMES = [x.split()[0] for x in RAW.split(", ") if x.split()[0] not in ("group", "seed")]
 
 

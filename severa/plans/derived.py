@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from severa.functions.durable import written
 from severa.operators.instance import Instance, all_nodes, merged
 
 
@@ -54,7 +55,7 @@ def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def instance(spark: SparkSession, sf_dir: str, cyclic: bool = False, ringed: bool = False) -> Instance:
-    edges = merged(raw_edges(spark, sf_dir, cyclic, ringed))
+    edges = written(merged(raw_edges(spark, sf_dir, cyclic, ringed)), "merged")
     return Instance(all_nodes(edges, annotations(spark, sf_dir)), edges, "derived")
 
 

@@ -275,9 +275,14 @@ def set06_gr13_twins(spark, d):
     return outs.groupBy("outs").agg(F.sort_array(F.collect_set("src")).alias("t")).where("size(t) > 1").select(F.array_join("t", ",").alias("twins"), "outs")
 
 
-@query(sql() + " SELECT DISTINCT e2.edge_id FROM iedges e1 JOIN iedges e2 ON e1.src = e2.src WHERE e1.edge_id % 11 = 0")
+@query(sql() + """,
+rep AS (SELECT node_id, CASE WHEN node LIKE 's%' THEN min(node_id) FILTER (node LIKE 's%') OVER () ELSE node_id END AS rep FROM inodes),
+merged AS (SELECT min(edge_id) AS first, list(edge_id) AS all_ids FROM iedges JOIN rep a ON src = a.node_id JOIN rep b ON dst = b.node_id WHERE a.rep <> b.rep GROUP BY a.rep, b.rep)
+SELECT DISTINCT unnest(all_ids) AS edge_id FROM merged WHERE first % 11 = 0""")
 def gr16_original_edges_of_merged(spark, d):
-    e = graph(spark, d).edges
-    m = e.groupBy("src").agg(F.array_sort(F.flatten(F.collect_list("orig"))).alias("orig"))
-    picked = e.where(F.col("edge_id") % 11 == 0).select("src").distinct()
-    return m.join(picked, "src", "left_semi").select(F.explode("orig").alias("edge_id")).distinct()
+    """All suppliers as one node; the original edges of merged edges."""
+    g = graph(spark, d)
+    s = g.nodes.where(F.col("label").startswith("s"))
+    least = written(s.agg(F.min("node_id").alias("rep")), "rep")
+    small = reduction.contract(g, s.select("node_id").join(F.broadcast(least)))  # one row
+    return reduction.original_edges(small, small.edges.where(F.col("edge_id") % 11 == 0))

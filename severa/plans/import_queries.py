@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from severa.functions import relations as rel
+from severa.functions.durable import fresh_folder
 from severa.operators import instance as inst
+from severa.plans import derived
 from severa.plans.derived import table
-from severa.sources import csv_graph, generators
+from severa.sources import csv_graph, generators, json_graph
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -95,13 +97,6 @@ def rel04_build_graph(spark, d):
     return edges.withColumn("etypes", F.array_join("etypes", ","))
 
 
-@query(ROWS + "SELECT count(*) AS relations, count(*) FILTER (etype = raw AND etype = 'Mystery') AS unknown, (SELECT count(*) FROM (SELECT src FROM typed WHERE etype IN ('GetChanges', 'GetChangesAll') GROUP BY src, dst HAVING count(DISTINCT etype) = 1)) AS incomplete FROM typed")
-def rel10_import_counts(spark, d):
-    rows = etyped(spark, d)
-    half = rows.where(F.col("etype").isin(*rel.REPLICATION)).groupBy("src", "dst").agg(F.count_distinct("etype").alias("n")).where("n = 1").agg(F.count("*").alias("incomplete"))
-    return rows.agg(F.count("*").alias("relations"), F.count_if(rel.canonical_relation(F.col("raw")).isNull()).alias("unknown")).join(half)
-
-
 @query(ROWS + """SELECT o, s, CASE WHEN lower(o) IN ('members', 'localadmins', 'rdpusers') OR (o IN ('AdminTo') AND s = 'Computer') OR (o = 'HasSession' AND s = 'User') THEN true ELSE false END AS back
 FROM unnest(['Members', 'LocalAdmins', 'RDPUsers', 'AdminTo', 'HasSession', 'MemberOf']) a(o), unnest(['User', 'Computer', 'Group']) b(s)""")
 def rel08_lists_that_point_back(spark, d):
@@ -111,13 +106,109 @@ def rel08_lists_that_point_back(spark, d):
 
 @query(ROWS + "SELECT src AS node FROM typed UNION SELECT dst FROM typed EXCEPT SELECT node FROM node WHERE CAST(substr(node, 2) AS INT) < 25")
 def rel12_implied_nodes(spark, d):
-    known = typed_nodes(spark, d).where(F.substring("node", 2, 9).cast("int") < 25)
-    return relation_rows(spark, d).select(F.explode(F.array("src", "dst")).alias("node")).distinct().join(known, "node", "left_anti")
+    return json_graph.implied(relation_rows(spark, d), typed_nodes(spark, d).where(F.substring("node", 2, 9).cast("int") < 25))
 
 
-@query(ROWS + "SELECT DISTINCT src AS subject FROM typed WHERE src NOT IN (SELECT node FROM node WHERE tier0)")
+@query(ROWS + "SELECT DISTINCT src AS node FROM typed WHERE src NOT IN (SELECT node FROM node WHERE tier0)")
 def val02_annotations_of_unknown_nodes(spark, d):
-    return relation_rows(spark, d).select(F.col("src").alias("subject")).distinct().join(typed_nodes(spark, d).where("tier0"), F.col("subject") == F.col("node"), "left_anti")
+    return json_graph.unknown(relation_rows(spark, d).select(F.col("src").alias("node")), typed_nodes(spark, d).where("tier0"))
+
+
+def export(spark, d) -> str:
+    """A folder of JSON Lines in several shapes, from all suppliers, customers, nations and regions, and from all order lines.
+
+    Suppliers are node records with fields of their own, nations hold their customers as a list that points back, regions
+    have labels and properties. Order lines are relations between suppliers in five spellings, with ends as objects or as
+    plain ids; what they name beyond the known suppliers is implied.
+    """
+    folder = fresh_folder(spark, "export")
+    put = lambda df, name: df.write.json(f"{folder}/{name}", mode="overwrite")
+    s, c, n, r = (table(spark, d, t) for t in ("supplier", "customer", "nation", "region"))
+    key = lambda p, x: F.concat(F.lit(p), F.col(x).cast("string"))
+    put(s.select(key("s", "s_suppkey").alias("id"), F.lit("User").alias("type"), F.when(F.col("s_acctbal") > 0, 2).alias("entry_weight"), key("n", "s_nationkey").alias("primary_group")), "suppliers")
+    members = c.groupBy("c_nationkey").agg(F.array_sort(F.collect_list(key("c", "c_custkey"))).alias("Members"))
+    nations = n.join(members, n["n_nationkey"] == members["c_nationkey"], "left")
+    put(nations.select(key("n", "n_nationkey").alias("ObjectIdentifier"), F.lit("Base_Group").alias("Type"), F.struct(F.col("n_name").alias("name"), "Members", F.when(F.col("n_nationkey") % 5 == 0, "domain_users").alias("wellknown")).alias("Properties")), "nations")
+    regions = r.select(F.lit("node").alias("type"), key("r", "r_regionkey").alias("id"), F.array(F.lit("Base"), F.lit("Domain")).alias("labels"), F.struct(F.col("r_name").alias("name"), F.lit(True).alias("highvalue"), (F.col("r_regionkey") == 0).alias("tier0"), F.lit("7").alias("target_value")).alias("properties"))
+    put(regions, "regions")
+    put(n.select(F.lit("relationship").alias("type"), F.lit("GenericAll").alias("label"), F.struct(key("n", "n_nationkey").alias("id")).alias("start"), F.struct(key("r", "n_regionkey").alias("id")).alias("end")), "belongs")
+    put(s.select(key("s", "s_suppkey").alias("source"), key("n", "s_nationkey").alias("target"), F.lit("member-of").alias("type")), "memberships")
+    at = (F.col("l_linenumber") % 5 + 1).cast("int")
+    line = table(spark, d, "lineitem").select(key("s", "l_suppkey").alias("src"), F.concat(F.lit("s"), (F.col("l_partkey") % 1000).cast("string")).alias("dst"), F.element_at(F.array(*[F.lit(x) for x in ("Has Session", "rdp", "GetChanges", "getchangesall", "Odd")]), at).alias("Kind"))
+    put(line.distinct(), "lines")
+    return folder
+
+
+EXPORT = """
+WITH known AS (
+  SELECT 's' || s_suppkey AS node, 'User' AS ntype, CASE WHEN s_acctbal > 0 THEN 2.0 ELSE 0.0 END::DOUBLE AS entry_weight, 0.0::DOUBLE AS target_value, false AS tier0, NULL AS wellknown, 'n' || s_nationkey AS primary_group FROM supplier
+  UNION ALL SELECT 'n' || n_nationkey, 'Group', 0, 0, false, CASE WHEN n_nationkey % 5 = 0 THEN 'DOMAIN_USERS' END, NULL FROM nation
+  UNION ALL SELECT 'r' || r_regionkey, 'Domain', 0, 7, r_regionkey = 0, NULL, NULL FROM region),
+line AS (SELECT DISTINCT 's' || l_suppkey AS src, 's' || (l_partkey % 1000) AS dst, ['HasSession', 'CanRDP', 'GetChanges', 'GetChangesAll', 'Odd'][CAST(l_linenumber AS INT) % 5 + 1] AS etype FROM lineitem),
+rel AS (
+  SELECT 's' || s_suppkey AS src, 'n' || s_nationkey AS dst, 'MemberOf' AS etype FROM supplier
+  UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 'MemberOf' FROM customer
+  UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 'GenericAll' FROM nation
+  UNION ALL SELECT * FROM line),
+rights AS (SELECT src, dst, count(DISTINCT etype) AS n FROM rel WHERE etype IN ('GetChanges', 'GetChangesAll') GROUP BY src, dst),
+kept AS (SELECT DISTINCT src, dst, etype FROM (SELECT src, dst, etype FROM rel WHERE etype NOT IN ('GetChanges', 'GetChangesAll') UNION ALL SELECT src, dst, 'DCSync' FROM rights WHERE n = 2)),
+nodes AS (
+  SELECT * FROM known
+  UNION ALL SELECT node, 'Other', 0, 0, false, NULL, NULL FROM (SELECT src AS node FROM rel UNION SELECT dst FROM rel) WHERE node NOT IN (SELECT node FROM known)),
+costed AS (
+  SELECT k.src, k.dst, etype, NOT ((etype = 'MemberOf' AND (coalesce(t.wellknown = 'DOMAIN_USERS', false) OR coalesce(s.primary_group = k.dst, false))) OR s.tier0) AS free,
+    CASE etype WHEN 'MemberOf' THEN 5 WHEN 'HasSession' THEN 1 ELSE 2 END AS cost
+  FROM kept k JOIN nodes s ON k.src = s.node JOIN nodes t ON k.dst = t.node WHERE k.src <> k.dst)
+"""
+
+
+@query(EXPORT + "SELECT src, dst, CASE WHEN bool_and(free) THEN sum(cost) END::BIGINT AS cost, bool_and(free) AS deletable, string_agg(etype, ',' ORDER BY etype) AS etypes FROM costed GROUP BY src, dst")
+def src05_src06_src08_import_edges(spark, d):
+    """An export from its files: scan, split, relations of records and of embedded lists, pairing, costs."""
+    return json_graph.load(spark, export(spark, d)).instance.edges.select("src", "dst", "cost", "deletable", F.array_join("etypes", ",").alias("etypes"))
+
+
+@query(EXPORT + "SELECT node, ntype, entry_weight, target_value, tier0 FROM nodes")
+def src07_rel07_import_nodes(spark, d):
+    return json_graph.load(spark, export(spark, d)).instance.nodes.select("node", "ntype", "entry_weight", "target_value", "tier0")
+
+
+@query(EXPORT + """SELECT (SELECT count(*) FROM known) AS node_records, (SELECT count(*) FROM rel) AS relation_records, (SELECT count(*) FROM rel WHERE etype = 'Odd') AS odd,
+  (SELECT count(*) FROM rights WHERE n = 2) AS dcsync_pairs, (SELECT count(*) FROM rights WHERE n = 1) AS incomplete_replication_pairs, (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM nodes WHERE tier0) AS tier0_nodes""")
+def rel06_rel10_import_statistics(spark, d):
+    """The import's own counts; an unknown relation is kept and counted by its name."""
+    got = json_graph.load(spark, export(spark, d)).statistics
+    names = ("node_records", "relation_records", "dcsync_pairs", "incomplete_replication_pairs", "nodes", "tier0_nodes")
+    return spark.createDataFrame([(*[got[x] for x in names], got["unknown_relation_types"]["Odd"])], ", ".join(f"{x} long" for x in (*names, "odd")))
+
+
+@query(EXPORT + "SELECT node, CASE WHEN substr(node, 1, 1) = 'n' THEN 3.0 ELSE 0.0 END::DOUBLE AS entry_weight, CASE WHEN node = 'r1' THEN 4.0 ELSE 0.0 END::DOUBLE AS target_value FROM nodes")
+def rel11_given_mappings_replace(spark, d):
+    """The caller's entries and targets stand for those that the files name."""
+    nations = {f"n{r.n_nationkey}": 3.0 for r in table(spark, d, "nation").select("n_nationkey").collect()}  # a few dozen
+    return json_graph.load(spark, export(spark, d), entry_weight=nations, target_value={"r1": 4.0}).instance.nodes.select("node", "entry_weight", "target_value")
+
+
+@query("SELECT 'c' || c_custkey AS node, CASE c_custkey % 3 WHEN 0 THEN 1.5 WHEN 1 THEN c_custkey ELSE c_nationkey END::DOUBLE AS value FROM customer")
+def src09_mapping_file(spark, d):
+    """A mapping file of plain ids, of commas and of tabs, with comments."""
+    c, folder = table(spark, d, "customer"), fresh_folder(spark, "mapping")
+    key = F.concat(F.lit("c"), F.col("c_custkey").cast("string"))
+    line = F.when(F.col("c_custkey") % 3 == 0, F.concat(key, F.lit(" # no value"))).when(F.col("c_custkey") % 3 == 1, F.concat(key, F.lit(" , "), F.col("c_custkey").cast("string"))).otherwise(F.concat(key, F.lit("\t"), F.col("c_nationkey").cast("string")))
+    c.select(line).write.text(folder)
+    return csv_graph.mapping(spark, folder, 1.5)
+
+
+@query(derived.sql() + " SELECT src, dst, cost, deletable FROM medges")
+def src01_src03_snk01_saved_edges(spark, d):
+    """An instance that was saved as CSV files and a meta.json, and loaded again."""
+    folder = fresh_folder(spark, "saved")
+    made = derived.instance(spark, d)
+    csv_graph.save(inst.Instance(made.nodes, made.edges, made.name, {"from": "tables"}), folder)
+    again = csv_graph.load(spark, folder)
+    if again.meta != {"from": "tables"}:
+        raise AssertionError(again.meta)
+    return again.edges.select("src", "dst", "cost", "deletable")
 
 
 @query("""SELECT o_orderkey, lower(trim(CASE o_orderkey % 6 WHEN 0 THEN ' Yes' WHEN 1 THEN 'TRUE ' WHEN 2 THEN '1' WHEN 3 THEN 'no' WHEN 4 THEN '' ELSE 'yess' END)) IN ('1', 'true', 'yes', 'y', 't') AS truthy FROM orders""")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from severa.plans import graph_queries, import_queries, run_queries
+from severa.plans import coarse_queries, graph_queries, import_queries, run_queries
 
-MODULES = (graph_queries, import_queries, run_queries)
+MODULES = (graph_queries, import_queries, run_queries, coarse_queries)
 
 
 def queries() -> dict:

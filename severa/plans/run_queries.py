@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from severa.functions.durable import written
 from severa.operators import reach, reduction, report, runs
 from severa.plans.derived import sql, table
-from severa.plans.graph_queries import CANDIDATES, graph
+from severa.plans.graph_queries import BACKWARD, CANDIDATES, graph
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -79,8 +79,11 @@ def gr10_gr14_risk_of_reduced(spark, d):
     return reach.risk(reduction.reduce(graph(spark, d, ringed=True))).select("risk")
 
 
-@query()
+@query(sql() + BACKWARD + """,
+o AS (SELECT i.edge_id, i.cost FROM iedges i JOIN inodes n ON i.src = n.node_id WHERE n.entry_weight > 0 AND i.dst IN (SELECT node FROM tr))
+SELECT 'derived' AS instance, CAST(sum(cost) AS BIGINT) AS value, string_agg(edge_id::VARCHAR, ',' ORDER BY edge_id) AS edges FROM o""")
 def gr06_gr07_global_cut(spark, d):
+    """An order lies on its customer's one edge, of cost 1, and on edges of 3 or more: the cut is the former, of all orders on a way."""
     found = runs.global_cuts(runs.packed(pruned(spark, d), "derived"))
     return found.select("instance", "value", F.array_join(F.transform("edges", lambda x: x.cast("string")), ",").alias("edges"))
 
@@ -96,53 +99,6 @@ def gr07_entries_after_global_cut(spark, d):
     return g.entries().join(left, "node_id", "left_semi").agg(F.count("*").alias("still_connected"))
 
 
-def _instances(spark, d):
-    a = runs.packed(pruned(spark, d), "acyclic_s1")
-    return written(a.union(runs.packed(pruned(spark, d, cyclic=True), "cyclic_s2")), "packed")
-
-
-def _removed(spark, d, alg, frac=0.25):
-    told = runs.run(_instances(spark, d), (alg,), (frac,), bound=False, seconds=20.0)
-    return told.select("dataset", "budget", "cost", "risk0", "risk", "reach_pair_frac", "mean_dist", "status")
-
-
-@query()
-def alg_a_greedy(spark, d):
-    return _removed(spark, d, "A")
-
-
-@query()
-def alg_b1_global_cut(spark, d):
-    return _removed(spark, d, "B1")
-
-
-@query()
-def alg_b2_target_cuts(spark, d):
-    return _removed(spark, d, "B2")
-
-
-@query()
-def alg_c_exact(spark, d):
-    """On the smallest instance only the budget of one edge is small enough to be proven; the status tells."""
-    return runs.run(runs.packed(pruned(spark, d), "acyclic_s1"), ("C",), (0.01,), bound=False, seconds=20.0).select("dataset", "budget", "cost", "risk0", "risk", "status")
-
-
-@query()
-def alg_d_gr17_hub_cut(spark, d):
-    return _removed(spark, d, "D", 0.05)
-
-
-@query()
-def alg_d_ablations(spark, d):
-    told = runs.run(runs.packed(pruned(spark, d), "acyclic_s1"), ("D-noreduce", "D-nohub", "D-noLP", "D-noLS", "D-ratio"), (0.1,), bound=False)
-    return told.select("dataset", "alg", "budget", "cost", "risk")
-
-
-@query()
-def bnd01_lp_bound(spark, d):
-    return runs.run(_instances(spark, d), (), (0.1, 0.5)).select("dataset", "budget_frac", "budget", "risk0", "risk", "status")
-
-
 GREEDY = sql() + CANDIDATES + """,
 one AS (SELECT edge_id, gain FROM gain JOIN iedges USING (edge_id) WHERE gain > 0 ORDER BY gain / cost DESC, gain DESC, edge_id LIMIT 1)
 SELECT r0.risk - one.gain AS risk FROM r0, one"""
@@ -233,11 +189,11 @@ def snk03_top07_markdown(spark, d):
     return report.markdown(report.summary(_grouped(raw_results(spark, d))))
 
 
-@query(RAW + "SELECT dataset, " + _sql_rounded("budget_frac", "") + ", alg FROM raw WHERE NOT (alg = 'A' AND budget_frac = 0.25) AND NOT (dataset = 'g0_s0' AND alg = 'D')")
+@query(RAW + "SELECT dataset AS instance, " + _sql_rounded("budget_frac", "") + ", alg FROM raw WHERE NOT (alg = 'A' AND budget_frac = 0.25) AND NOT (dataset = 'g0_s0' AND alg = 'D')")
 def snk02_runs_left_to_do(spark, d):
-    raw = raw_results(spark, d).select("dataset", "budget_frac", "alg")
+    raw = raw_results(spark, d)
     done = raw.where("alg = 'A' and budget_frac = 0.25").union(raw.where("dataset = 'g0_s0' and alg = 'D'"))
-    return raw.join(done, ["dataset", "budget_frac", "alg"], "left_anti")
+    return runs.left_to_do(raw.select(F.col("dataset").alias("instance"), "budget_frac", "alg"), done)
 
 
 @query(RAW + "SELECT dataset, alg, budget, extra FROM (SELECT dataset, alg, budget, NULL::BIGINT AS extra FROM raw WHERE alg = 'A' UNION ALL SELECT dataset, alg, budget, red_n FROM raw WHERE alg = 'D')")
@@ -263,14 +219,7 @@ def snk04_plot_time(spark, d):
     return _rounded(report.plot_time(report.summary(_grouped(raw_results(spark, d))), 0.5))
 
 
-@query(RAW + "SELECT list_sort(list(DISTINCT alg))::VARCHAR AS algs, min(c) AS first_kind FROM (SELECT dataset, alg, cost AS c, n FROM raw WHERE cost IS NOT NULL) GROUP BY c")
-def agg07_first_kind_of_equal_sets(spark, d):
-    raw = raw_results(spark, d).where("cost <> ''")
-    return raw.groupBy(F.col("cost").cast("long").alias("c")).agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_set("alg")), ", "), F.lit("]")).alias("algs"), F.min(F.col("cost").cast("long")).alias("first_kind")).drop("c")
-
-
-@query()
-def run01_batch(spark, d):
-    told = runs.run(_instances(spark, d), ("A", "B2"), (0.1, 0.5), bound=True)
-    return told.drop("time", "red_time", "removed")
-
+@query(RAW + 'SELECT "group", alg, ' + _sql_rounded("budget_frac", "") + ", round(risk_ratio_mean, 11) AS y, round(risk_ratio_std, 11) AS err, round(n_mean, 11) AS n_mean FROM summ WHERE alg = 'D' AND false")
+def snk04_plot_ablation(spark, d):
+    """D alone is no ablation: the table is empty."""
+    return _rounded(report.plot_ablation(report.summary(_grouped(raw_results(spark, d)))))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from math import exp, lgamma, log
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from severa.operators.instance import Instance, all_nodes, from_relations, merged
-
-MOST_DEGREE = 64
+from severa.functions.durable import written
+from severa.operators.instance import Instance, InvalidInstance, all_nodes, from_relations, merged
+from severa.sources import csv_graph, json_graph
 
 
 def uniform(seed: int, *parts) -> Column:
@@ -24,15 +25,19 @@ def pick(seed: int, n: int | Column, *parts) -> Column:
 
 
 def poisson(mean: float, u: Column) -> Column:
-    """The Poisson quantile of u, by the distribution's running sum, at most MOST_DEGREE."""
-    out, term, total = F.lit(0), float(2.718281828459045**-mean), 0.0
-    for k in range(MOST_DEGREE if mean > 0 else 0):
-        total += term
-        term *= mean / (k + 1)
-        out = out + F.when(u >= total, 1).otherwise(0)
-        if total > 1 - 1e-12:
+    """The Poisson quantile of u: how many steps of the distribution's running sum are at most u. The sums, a literal, go on
+    until no u that uniform() makes lies beyond them, so no draw is cut off; they are about mean and a dozen deviations many."""
+    if mean <= 0:
+        return F.lit(0)
+    sums, total, k = [], 0.0, 0
+    while k <= mean or total < 1 - 2.0**-44:
+        term = exp(k * log(mean) - mean - lgamma(k + 1))
+        if k > mean and term < 2.0**-60:  # rounding keeps the sum from 1
             break
-    return out
+        total += term
+        sums.append(total)
+        k += 1
+    return F.size(F.filter(F.lit(sums), lambda x: x <= u))
 
 
 def seeds_of(text: str) -> list[int]:
@@ -169,7 +174,7 @@ def layered(spark: SparkSession, n: int = 1000, seed: int = 0, layers: int = 6,
     for k in reversed(range(layers - 1)):
         layer = F.when(i < firsts[k + 1], k).otherwise(layer)
     nodes = spark.range(firsts[-1]).withColumn("layer", layer.cast("int"))
-    times = F.least(F.greatest(F.floor(-F.log(1 - uniform(seed, "degree", i)) * out_degree), F.lit(1)), F.lit(MOST_DEGREE))
+    times = F.greatest(F.floor(-F.log(1 - uniform(seed, "degree", i)) * out_degree), F.lit(1))
     u = uniform(seed, "way", i, F.col("k"))
     ahead = F.col("layer") + 2 + pick(seed, F.lit(layers - 2) - F.col("layer"), "ahead", i, F.col("k"))
     back = pick(seed, F.col("layer"), "back", i, F.col("k"))
@@ -221,3 +226,33 @@ def annotated(nodes: DataFrame, seed: int, groups: dict[str, str], target_names:
     n = told.where("may").count()
     chosen = told.where("may").orderBy(F.xxhash64(F.lit(seed), "node"), "node").limit(max(1, round(n * share)) if n else 0).select("node", F.lit(1.0).alias("w"))
     return told.join(chosen, "node", "left").select("node", F.coalesce("w", F.lit(0.0)).alias("entry_weight"), "target_value", "tier0", "wellknown")
+
+
+# Names of groups with a role of their own, and of the groups that are targets.
+ROLES = {
+    "DOMAIN USERS": "DOMAIN_USERS", "DOMAIN COMPUTERS": "DOMAIN_COMPUTERS", "DOMAIN CONTROLLERS": "DOMAIN_CONTROLLERS",
+    "EVERYONE": "EVERYONE", "AUTHENTICATED USERS": "AUTHENTICATED_USERS", "USERS": "BUILTIN_USERS",
+}
+TARGET_NAMES = ("DOMAIN ADMINS", "ENTERPRISE ADMINS", "ADMINISTRATORS")
+
+
+def prepare(spark: SparkSession, path: str, out: str, seed: int, share: float = 0.1) -> dict:
+    """Imports an export with annotations by policy, saves it in out, and returns its manifest row.
+
+    Provenance goes with the instance: the source, SHA-256 of its files (in order of their names), the seed and the
+    share. An export in which the policy finds no target or no entry is an error.
+    """
+    name = f"{path.rstrip('/').rsplit('/', 1)[-1].split('.')[0]}_s{seed}"
+    records, _ = json_graph.split_records(json_graph.payloads(spark, path))
+    told = written(annotated(json_graph.attributes(records), seed, ROLES, TARGET_NAMES, share), "annotations")
+    pick = lambda where, c: {r.node: r[c] for r in told.where(where).select("node", c).collect()}  # noqa: E731 annotations are what load() takes from a caller
+    entries, targets = pick("entry_weight > 0", "entry_weight"), pick("target_value > 0", "target_value")
+    if not entries or not targets:
+        raise InvalidInstance(f"{path}: {len(targets)} targets and {len(entries)} entries by policy")
+    got = json_graph.load(spark, path, name, entries, targets, list(pick("tier0", "tier0")), pick("wellknown is not null", "wellknown"))
+    sha = lambda where, glob: [r.h for r in spark.read.format("binaryFile").option("pathGlobFilter", glob).load(where).orderBy("path").select(F.sha2("content", 256).alias("h")).collect()]
+    meta = got.instance.meta | {"seed": seed, "share": share, "sha256": sha(path, "*"), "import": got.statistics}
+    made = Instance(got.instance.nodes, got.instance.edges, name, meta)
+    csv_graph.save(made, f"{out}/{name}")
+    edges = made.edges.agg(F.count("*").alias("m"), F.count_if(~F.col("deletable")).alias("fixed")).first()
+    return {"dataset": name, "seed": seed, "n": made.nodes.count(), "m": edges.m, "fixed_edges": edges.fixed, "entries": len(entries), "targets": len(targets), "relations": got.statistics["relation_records"], "edges_sha256": ",".join(sha(f"{out}/{name}/edges.csv", "*.csv")), "nodes_sha256": ",".join(sha(f"{out}/{name}/nodes.csv", "*.csv"))}
