@@ -107,6 +107,21 @@ def test_bound(seed, budget):
         assert low == pytest.approx(k.risk(net))
 
 
+def test_search_limits():
+    """Cut short, the search says so; limited by nodes, it says the same again."""
+    net = make(4, n=12, p=0.35, most_free=30)
+    few = [k.exact(net, 6, most_nodes=3) for _ in range(2)]
+    assert few[0][1] == "feasible" and few[0][2] == few[1][2] and (few[0][0] == few[1][0]).all()
+    assert k.exact(net, 6)[1] == "optimal"
+
+
+def test_without_hubs_only_single_edges_are_offered():
+    net = k.Net.of(4, [0, 0, 1, 2], [1, 2, 3, 3], [0, 0, 1, 1], [False, False, True, True], [1, 0, 0, 0], [0, 0, 0, 7])
+    assert k.risk(net, st.STRATEGIES["D-nohub"](net, 2)[0]) in (0, 7)
+    assert st.cut_offers(net, net.whole(), 2, 7.0, {}, most_hubs=0, targets=False) == []
+    assert len(st.cut_offers(net, net.whole(), 2, 7.0, {}, most_hubs=0)) == 1
+
+
 def test_bound_is_tight_on_a_chain():
     net = k.Net.of(3, [0, 1], [1, 2], [4, 2], [True, True], [1, 0, 0], [0, 0, 10])
     assert k.lp_bound(net, 1)[0] == pytest.approx(5, rel=0.02)

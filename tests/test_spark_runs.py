@@ -59,9 +59,34 @@ def test_runs_and_resume(spark, tmp_path):
     assert [r.alg for r in again.collect()] == ["D"]
 
 
+@pytest.mark.parametrize("bits", [63, 2])
+def test_weights_by_sets_of_bits(spark, monkeypatch, bits):
+    monkeypatch.setattr(reach, "BITS", bits)
+    net = make(9, n=14, p=0.25, n_entries=6, n_targets=3)
+    g = frames(spark, net)
+    ahead = kernels.forward(net, net.whole())
+    want = sum(net.w[s] * ahead.swept([s]) for s in net.entries())
+    got = {r.node: r.total for r in reach.weights_that_reach(g.entries(), g.edges).collect()}
+    assert got == pytest.approx({i: x for i, x in enumerate(want) if x > 0})
+
+
+def test_rows_are_kept_as_they_are_found(spark, tmp_path):
+    packed, folder = runs.packed(frames(spark, make(8)), "net_s8"), f"file://{tmp_path}/rows"
+    runs.run(packed, ("A", "B1"), (0.5,), bound=True, keep=folder).write.format("noop").mode("overwrite").save()
+    assert len(list((tmp_path / "rows").glob("*.json"))) == 3
+    assert sorted(r.alg for r in runs.finished(spark, folder).collect()) == ["A", "B1", "LB"]
+    (tmp_path / "rows" / "_half-written").write_text('{"alg":')
+    again = runs.run(packed, ("A", "D"), (0.5,), bound=True, done=runs.finished(spark, folder), keep=folder)
+    assert [r.alg for r in again.collect()] == ["D"] and runs.finished(spark, folder).count() == 4
+
+
 def test_command_line(spark, tmp_path):
     cli.main(["generate", "layered", "--n", "60", "--seeds", "1", "--out", f"{tmp_path}/in"])
     cli.main(["run", f"{tmp_path}/in/layered_60_s1", "--algs", "A,B1", "--fracs", "0.5", "--lp-bound", "--out", f"{tmp_path}/raw"])
+    cli.main(["run", f"{tmp_path}/in/layered_60_s1", "--algs", "A,B1", "--fracs", "0.5", "--lp-bound", "--resume", "--out", f"{tmp_path}/raw"])
+    assert spark.read.parquet(f"file://{tmp_path}/raw").count() == 3
+    cli.main(["plot", f"{tmp_path}/raw", "--out", f"{tmp_path}/plots"])
+    assert spark.read.option("header", True).csv(f"file://{tmp_path}/plots/risk.csv").count() == 3
     cli.main(["aggregate", f"{tmp_path}/raw", "--out", f"{tmp_path}/summary"])
     assert spark.read.option("header", True).csv(f"file://{tmp_path}/summary.csv").count() == 3
     lines = [r.value for r in spark.read.text(f"file://{tmp_path}/summary.md").collect()]
