@@ -181,8 +181,8 @@ OP5 = rf"""
 WITH RECURSIVE p AS MATERIALIZED (
   SELECT *, {_NODE} AS node, {_SAYS} AS says FROM (
     SELECT *, {_RULE} AS rule FROM (SELECT page_id, coalesce(html, '') AS html, {_HOST.format("coalesce(url, '')", _LOW)} AS host, {_PATH.format("coalesce(url, '')", "'', ''")} AS path FROM pages))),
-found AS (SELECT node AS src, unnest(list_distinct(regexp_extract_all(html, '(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^\x00-\x20"''<>\\]+'))) AS u FROM p WHERE host <> ''),
-linked AS (SELECT DISTINCT src, CASE WHEN starts_with(u, '//') THEN 'http:' || u ELSE u END AS u FROM found),
+found AS (SELECT node AS src, unnest(list_distinct(regexp_extract_all(html, '//[^\x00-\x20"''<>\\]+'))) AS u FROM p WHERE host <> ''),
+linked AS (SELECT DISTINCT src, 'http:' || u AS u FROM found),
 judged AS MATERIALIZED (
   SELECT src, dst, {_SAYS} AS says FROM (
     SELECT src, {_NODE} AS dst, {_RULE} AS rule FROM (SELECT src, {_HOST.format("u", _LOW)} AS host, {_PATH.format("u", "'', ''")} AS path FROM linked) WHERE host <> '')

@@ -20,8 +20,9 @@ LEAST = 1e-4
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-#: Links that a page writes with a host, with or without a scheme: in any attribute, <base> among them, or in its text.
-LINKS = r"(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^\x00-\x20\"'<>\\]+"
+#: Links that a page writes with a host, from the slashes on, with or without a scheme: in any attribute, <base> among
+#: them, or in its text.
+LINKS = r"//[^\x00-\x20\"'<>\\]+"
 #: Names of hosts that a page writes out, such as in a footer.
 NAMED = r"(?<![A-Za-z0-9._@-])[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 
@@ -78,19 +79,13 @@ def node(name: Column) -> Column:
     return F.regexp_replace(name, r"^.*@|:[0-9]*$", "")
 
 
-def links(pages: DataFrame) -> DataFrame:
-    """Distinct (src, url) of the links that pages (host, html) write with a host. A link without a scheme gets that of http."""
-    found = F.array_distinct(F.regexp_extract_all(F.coalesce(F.col("html"), F.lit("")), F.lit(LINKS), F.lit(0)))
-    told = pages.where("host <> ''").select(node(F.col("host")).alias("src"), F.explode(found).alias("url"))
-    return told.select("src", F.when(F.col("url").startswith("//"), F.concat(F.lit("http:"), F.col("url"))).otherwise(F.col("url")).alias("url")).distinct()
-
-
-def named_hosts(pages: DataFrame, hosts: DataFrame) -> DataFrame:
-    """Distinct (src, dst): a page of src writes out the name of dst, one of hosts (host). pages: host and html."""
-    named = F.array_distinct(F.regexp_extract_all(F.coalesce(F.col("html"), F.lit("")), F.lit(NAMED), F.lit(0)))
-    told = pages.where("host <> ''").select(node(F.col("host")).alias("src"), F.explode(named).alias("dst"))
-    told = told.select("src", F.translate("dst", UPPER, UPPER.lower()).alias("dst")).where("src <> dst").distinct()
-    return told.join(small(hosts.select(F.col("host").alias("dst"))), "dst", "left_semi").select("src", "dst")
+def mentions(pages: DataFrame) -> DataFrame:
+    """Distinct (src, kind, what) of pages (host, html): what they write of links with a host (kind link, a url of http) and
+    of hosts' names (kind name). Both are taken in one pass."""
+    html = F.coalesce(F.col("html"), F.lit(""))
+    found = lambda pattern, kind, make: F.transform(F.array_distinct(F.regexp_extract_all(html, F.lit(pattern), F.lit(0))), lambda x: F.struct(F.lit(kind).alias("kind"), make(x).alias("what")))
+    both = F.concat(found(LINKS, "link", lambda x: F.concat(F.lit("http:"), x)), found(NAMED, "name", lambda x: F.translate(x, UPPER, UPPER.lower())))
+    return pages.where("host <> ''").select(node(F.col("host")).alias("src"), F.explode(both).alias("m")).select("src", "m.kind", "m.what").distinct()
 
 
 def graph(pages: DataFrame, rules: list[tuple[str, str]], told: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -100,12 +95,14 @@ def graph(pages: DataFrame, rules: list[tuple[str, str]], told: DataFrame) -> tu
     crawled. seeds (host, allowed, blocked) are shares, from 0 to 1, of a host's urls that rules allow and block: of its
     own pages, and of the distinct links to it that other hosts write.
     """
-    linked = written(links(pages), "links")
-    there = linked.select("src", host(F.col("url")).alias("host"), path(F.col("url")).alias("path")).where("host <> ''")
+    said = written(mentions(pages), "mentions")
+    there = said.where("kind = 'link'").select("src", host(F.col("what")).alias("host"), path(F.col("what")).alias("path")).where("host <> ''")
     judged = written(ruled(there, rules).select("src", node(F.col("host")).alias("dst"), "says").where("dst <> '' and src <> dst"), "judged")
     own = told.where("host <> ''").select(node(F.col("host")).alias("host"), "says")
     crawled = written(own.select("host").distinct(), "hosts")
-    edges = judged.select("src", "dst").union(named_hosts(pages, crawled)).distinct()
+    names = said.where("kind = 'name' and src <> what").select("src", F.col("what").alias("dst"))
+    named = names.join(small(crawled.select(F.col("host").alias("dst"))), "dst", "left_semi").select("src", "dst")
+    edges = judged.select("src", "dst").union(named).distinct()
     says = lambda x: F.count_if(F.col("says") == x) / F.count("*")
     seeds = own.union(judged.select("dst", "says")).groupBy("host").agg(says("allow").alias("allowed"), says("block").alias("blocked"))
     return written(edges, "edges"), written(seeds.where("allowed > 0 or blocked > 0"), "seeds")

@@ -41,8 +41,7 @@ def brute(pages):
         src = node(t[1])
         if not t[1]:
             continue
-        for x in re.findall(r"(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^\x00-\x20\"'<>\\]+", t[5]):
-            linked.add((src, "http:" + x if x.startswith("//") else x))
+        linked |= {(src, "http:" + x) for x in re.findall(r"//[^\x00-\x20\"'<>\\]+", t[5])}
         edges |= {(src, x.lower()) for x in re.findall(named, t[5]) if x.lower() in crawled and x.lower() != src}
     says = [(node(t[1]), t[4]) for t in told if t[1]]
     for src, u in linked:
