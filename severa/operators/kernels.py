@@ -443,93 +443,143 @@ def lone(net: Net, inward: bool) -> np.ndarray:
 # ---------------------------------------------------------------- bounds and exact optimum
 
 
-def lp_bound(net: Net, budget: int, there: np.ndarray | None = None, steps: int = 3000, check: int = 100) -> tuple[float, np.ndarray]:
+class _Sparse:
+    """A sparse matrix as entries sorted by row and, again, by column; a product is a gather and sums of runs."""
+
+    def __init__(self, rows: np.ndarray, cols: np.ndarray, values: np.ndarray, shape: tuple[int, int]):
+        self.shape = shape
+        self.by_row = self._runs(rows, cols, values)
+        self.by_column = self._runs(cols, rows, values)
+
+    @staticmethod
+    def _runs(key: np.ndarray, other: np.ndarray, values: np.ndarray):
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        return key[at], at, other[order], values[order]
+
+    @staticmethod
+    def _summed(runs, z: np.ndarray, n: int) -> np.ndarray:
+        key, at, other, values = runs
+        out = np.zeros(n)
+        out[key] = np.add.reduceat(values * z[other], at)
+        return out
+
+    def times(self, z: np.ndarray) -> np.ndarray:
+        return self._summed(self.by_row, z, self.shape[0])
+
+    def transposed(self, d: np.ndarray) -> np.ndarray:
+        return self._summed(self.by_column, d, self.shape[1])
+
+
+def _scales(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, shape: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Factors by row and column that bring a matrix's largest entries near 1 (Ruiz), then its norm to 1 at most (Pock and Chambolle)."""
+    by_row, by_column = np.ones(shape[0]), np.ones(shape[1])
+
+    def divide(row: np.ndarray, col: np.ndarray) -> None:
+        for factor, by in ((by_row, row), (by_column, col)):
+            factor /= np.sqrt(np.where(by > 0, by, 1.0))
+
+    for _ in range(8):
+        now = np.abs(values) * by_row[rows] * by_column[cols]
+        row, col = np.zeros(shape[0]), np.zeros(shape[1])
+        np.maximum.at(row, rows, now)
+        np.maximum.at(col, cols, now)
+        divide(row, col)
+    now = np.abs(values) * by_row[rows] * by_column[cols]
+    divide(np.bincount(rows, now, shape[0]), np.bincount(cols, now, shape[1]))
+    return by_row, by_column
+
+
+def lp_bound(net: Net, budget: int, there: np.ndarray | None = None, steps: int = 20_000, check: int = 40, tolerance: float = 1e-3) -> tuple[float, np.ndarray]:
     """(a certified lower bound on the risk within budget, fractional removals by edge).
 
     The relaxation: x in [0, 1] by removable edge, rho in [0, 1] by target and node that reaches it, rho(u) >= rho(next)
-    - x, rho(target) = 1, cost x <= budget. Primal-dual steps (Chambolle and Pock, with averages as in PDLP) look for
-    a saddle point; the bound is the dual function at the best dual point met, which holds for any dual point >= 0.
+    - x, rho(target) = 1, cost x <= budget. Primal-dual steps (Chambolle and Pock) with the scaling, restarts from
+    averages and primal weights of PDLP look for a saddle point, until primal and dual values are within tolerance of
+    each other. The bound is the dual function at the best dual point met, which holds for any dual point >= 0, so
+    also if steps run out first.
     """
     there = net.whole() if there is None else there
     lit = forward(net, there).swept(net.entries())
-    blocks, constant = [], 0.0
     cuttable = np.flatnonzero(there & net.free & lit[net.src])
     x_of = np.full(net.m, -1)
     x_of[cuttable] = np.arange(len(cuttable))
-    n_vars = len(cuttable)
-    c = [np.zeros(n_vars)]
-    rows_u, rows_y, rows_x, rhs = [], [], [], []
+    n_vars, constant = len(cuttable), 0.0
+    c, us, ys, xs, limits = [np.zeros(n_vars)], [], [], [], []
     for t, mask in reached_by(net, there).items():
         mask = mask & lit
-        nodes = np.flatnonzero(mask)
+        others = np.setdiff1d(np.flatnonzero(mask), [t])
         var = np.full(net.n, -1)
-        others = nodes[nodes != t]
         var[others] = n_vars + np.arange(len(others))
         n_vars += len(others)
         c.append(net.v[t] * net.w[others])
         constant += net.v[t] * net.w[t] if lit[t] else 0.0
         e = np.flatnonzero(there & mask[net.src] & mask[net.dst] & (net.src != t))
-        rows_u.append(var[net.src[e]])
-        rows_y.append(var[net.dst[e]])  # -1: the target, whose rho is 1
-        rows_x.append(x_of[e])
-        rhs.append(np.where(net.dst[e] == t, -1.0, 0.0))
-    if budget <= 0 or not rows_u or not len(cuttable):
+        us.append(var[net.src[e]])
+        ys.append(var[net.dst[e]])  # -1: the target, whose rho is 1
+        xs.append(x_of[e])
+        limits.append(np.where(net.dst[e] == t, -1.0, 0.0))
+    k = sum(map(len, us))
+    if budget <= 0 or not len(cuttable) or not k:
         return risk(net, there), np.zeros(net.m)
-    c = np.concatenate(c)
-    u, y, x, b = (np.concatenate(z) for z in (rows_u, rows_y, rows_x, rhs))
-    k = len(u)
-    if not k:  # nothing but targets that are entries
-        return risk(net, there), np.zeros(net.m)
-    price = net.cost[cuttable].astype(float)
-    scale = max(1.0, float(np.sqrt((price**2).sum())))
-    price, money = price / scale, budget / scale
-    has_y, has_x = y >= 0, x >= 0
-
-    def times(z):  # rows: rho(next) - x - rho(u) <= b, then the budget
-        out = -z[u]
-        out[has_y] += z[y[has_y]]
-        out[has_x] -= z[x[has_x]]
-        return out, float(price @ z[: len(price)])
-
-    def transposed(d, q):
-        out = np.bincount(y[has_y], weights=d[has_y], minlength=n_vars) - np.bincount(u, weights=d, minlength=n_vars)
-        out -= np.bincount(x[has_x], weights=d[has_x], minlength=n_vars)
-        out[: len(price)] += q * price
-        return out
-
-    degree = np.bincount(u, minlength=n_vars) + np.bincount(y[has_y], minlength=n_vars) + np.bincount(x[has_x], minlength=n_vars) + 1
-    tau, sigma = 1.0 / degree, np.full(k, 1.0 / 3)  # diagonal steps
-    weight = max(1.0, float(np.median(c[c > 0]))) if (c > 0).any() else 1.0
-    tau, sigma, sigma_q = tau / weight, sigma * weight, weight / max(1.0, price.sum())
-    z, d, q = np.full(n_vars, 0.5), np.zeros(k), 0.0
-    z[: len(price)] = 0.0
-    mean_z, mean_d, mean_q, n = z * 0, d * 0, 0.0, 0
-    best, best_z = -np.inf, z
-    marked, marked_at = -np.inf, 0
-
-    def bound(d, q):
-        return float(constant - d @ b - q * money + np.minimum(0.0, c + transposed(d, q)).sum())
-
+    # rows: rho(next) - x - rho(u) <= limit, then the budget
+    u, y, x, limit = (np.concatenate(part) for part in (us, ys, xs, limits))
+    on_y, on_x, paid = np.flatnonzero(y >= 0), np.flatnonzero(x >= 0), np.arange(len(cuttable))
+    rows = np.concatenate([np.arange(k), on_y, on_x, np.full(len(paid), k)])
+    cols = np.concatenate([u, y[on_y], x[on_x], paid])
+    values = np.concatenate([-np.ones(k), np.ones(len(on_y)), -np.ones(len(on_x)), net.cost[cuttable].astype(float)])
+    by_row, by_column = _scales(rows, cols, values, (k + 1, n_vars))
+    matrix = _Sparse(rows, cols, values * by_row[rows] * by_column[cols], (k + 1, n_vars))
+    h, c, top = np.append(limit, float(budget)) * by_row, np.concatenate(c) * by_column, 1.0 / by_column
+
+    def judged(point):
+        """(error, primal value, dual value, what rows are exceeded by) of z, Az, d and A'd."""
+        z, az, d, atd = point
+        over = float(np.linalg.norm(np.maximum(0.0, az - h)))
+        primal, dual = constant + c @ z, constant - d @ h + np.minimum(0.0, (c + atd) * top).sum()
+        return float(np.hypot(weight * over, primal - dual)), float(primal), float(dual), over
+
+    weight = float(np.linalg.norm(c) / max(np.linalg.norm(h), TINY)) or 1.0
+    point = (np.zeros(n_vars), np.zeros(k + 1), np.zeros(k + 1), np.zeros(n_vars))
+    began, sums, n = point, tuple(np.zeros_like(part) for part in point), 0
+    first = last = judged(point)[0]
+    best, best_d, least, best_z = -np.inf, point[2], np.inf, point[0]
     for step in range(1, steps + 1):
-        after = np.clip(z - tau * (c + transposed(d, q)), 0.0, 1.0)
-        over, spent = times(2 * after - z)
-        z = after
-        d = np.maximum(0.0, d + sigma * (over - b))
-        q = max(0.0, q + sigma_q * (spent - money))
-        mean_z, mean_d, mean_q, n = mean_z + z, mean_d + d, mean_q + q, n + 1
-        if step % check == 0:
-            for dd, qq, zz in ((d, q, z), (mean_d / n, mean_q / n, mean_z / n)):
-                if (got := bound(dd, qq)) > best:
-                    best, best_z = got, zz.copy()
-            if best > marked + 1e-3 * max(1.0, abs(marked)):
-                marked, marked_at = best, step
-            elif step - marked_at >= 6 * check:  # it hardly moves; any bound so far holds
-                break
-            if n >= 10 * check:  # the averages start anew
-                mean_z, mean_d, mean_q, n = mean_z * 0, mean_d * 0, 0.0, 0
+        z, az, d, atd = point
+        z = np.clip(z - 0.95 / weight * (c + atd), 0.0, top)
+        ahead = matrix.times(z)
+        d = np.maximum(0.0, d + 0.95 * weight * (2 * ahead - az - h))
+        point = (z, ahead, d, matrix.transposed(d))
+        for total, part in zip(sums, point):
+            total += part
+        n += 1
+        if step % check:
+            continue
+        mean = tuple(total / n for total in sums)
+        met = [(judged(p), p) for p in (point, mean)]
+        for (_, primal, dual, over), p in met:
+            if dual > best:
+                best, best_d = dual, p[2]
+            if (apart := abs(primal - dual) + over) < least:
+                least, best_z = apart, p[0]
+        (now, primal, dual, over), closer = min(met, key=lambda m: m[0][0])
+        if abs(primal - dual) <= tolerance * max(1.0, abs(primal)) and over <= tolerance * max(1.0, float(np.linalg.norm(h))):
+            break
+        if now <= 0.2 * first or last < now <= 0.8 * first or n >= 0.36 * step:
+            point = closer
+            moved, turned = (float(np.linalg.norm(point[i] - began[i])) for i in (0, 2))
+            if moved > TINY and turned > TINY:
+                weight = float(np.sqrt(turned / moved * weight))
+            began, sums, n = point, tuple(np.zeros_like(part) for part in point), 0
+            first = last = judged(point)[0]
+        else:
+            last = now
     fractions = np.zeros(net.m)
-    fractions[cuttable] = best_z[: len(price)]
-    return max(0.0, best), fractions
+    fractions[cuttable] = np.clip((best_z * by_column)[: len(cuttable)], 0.0, 1.0)
+    # once more by itself, as averages carry rounding
+    best = constant - best_d @ h + np.minimum(0.0, (c + matrix.transposed(best_d)) * top).sum()
+    return max(0.0, float(best)), fractions
 
 
 def exact(net: Net, budget: int, seconds: float | None = None, most_nodes: int | None = None, start: np.ndarray | None = None) -> tuple[np.ndarray, str, float]:

@@ -128,6 +128,30 @@ def test_bound_is_tight_on_a_chain():
     assert k.lp_bound(net, 2)[0] == pytest.approx(0, abs=0.2)
 
 
+def relaxed(net, x):
+    """The relaxation's value at removals x: an entry keeps of a target's value what its cheapest way leaves."""
+    value = 0.0
+    for t in net.targets():
+        far = np.full(net.n, np.inf)
+        far[t] = 0
+        for _ in range(net.n):
+            np.minimum.at(far, net.src, far[net.dst] + x)
+        value += net.v[t] * (net.w * np.maximum(0, 1 - far)).sum()
+    return value
+
+
+@pytest.mark.parametrize("seed", range(25))
+@pytest.mark.parametrize("share", [0.1, 0.5, 0.9])
+def test_bound_is_near_a_point_of_the_relaxation(seed, share):
+    net = make(seed, n=40, p=0.08, n_entries=8, n_targets=3, most_free=400)
+    budget = max(1, int(share * k.global_cut(net)[0]))
+    low, x = k.lp_bound(net, budget, tolerance=1e-4)
+    fits = x * min(1.0, budget / max((x * net.cost).sum(), 1e-12))
+    high = relaxed(net, fits)
+    assert low <= high + 1e-6
+    assert high - low <= 0.01 * k.risk(net)
+
+
 def test_two_routes_have_no_gain_alone():
     net = k.Net.of(4, [0, 0, 1, 2], [1, 2, 3, 3], [0, 0, 1, 1], [False, False, True, True], [1, 0, 0, 0], [0, 0, 0, 7])
     assert (k.gains(net) == 0).all()
