@@ -151,24 +151,19 @@ def dominators(n: int, root: int, tail: np.ndarray, head: np.ndarray) -> tuple[n
     return np.array(idom), order
 
 
-def gains(net: Net, there: np.ndarray | None = None) -> np.ndarray:
-    """The exact drop in risk of every edge if it alone is removed; 0 for edges that are gone or can't be.
+class _Tree:
+    """A target's dominator tree over reversed edges, and what each node's only edge out of its subtree protects.
 
-    For a target, look at the graph of reversed edges from it. An edge u -> x is on all ways of u's subtree in the
-    dominator tree if it is the only one to leave u for a node that u doesn't dominate; the subtree's entries are
-    what its removal protects. Only nodes that entries reach take part.
+    An edge u -> x is on all ways of u's subtree if it is the only one to leave u for a node that u doesn't dominate.
     """
-    there = net.whole() if there is None else there
-    out = np.zeros(net.m)
-    lit = forward(net, there).swept(net.entries())
-    edges = np.flatnonzero(there & lit[net.src] & lit[net.dst])
-    for t in net.targets():
-        if not lit[t]:
-            continue
-        idom, order = dominators(net.n, int(t), net.dst[edges], net.src[edges])
-        inside = idom >= 0
-        under = np.where(inside, net.w, 0.0)
-        size = inside.astype(np.int64)
+
+    def __init__(self, net: Net, t: int, edges: np.ndarray):
+        self.t = t
+        self.idom, order = dominators(net.n, t, net.dst[edges], net.src[edges])
+        idom = self.idom
+        self.alive = idom >= 0
+        under = np.where(self.alive, net.w, 0.0)
+        size = self.alive.astype(np.int64)
         for u in reversed(order[1:]):
             under[idom[u]] += under[u]
             size[idom[u]] += size[u]
@@ -179,14 +174,106 @@ def gains(net: Net, there: np.ndarray | None = None) -> np.ndarray:
             p = idom[u]
             first[u] = first[p] + 1 + taken[p]
             taken[p] += size[u]
-        here = edges[inside[net.src[edges]] & inside[net.dst[edges]]]
+        here = edges[self.alive[net.src[edges]] & self.alive[net.dst[edges]]]
         u, x = net.src[here], net.dst[here]
         leaves = ~((first[x] >= first[u]) & (first[x] < first[u] + size[u]))
         alone = np.bincount(u[leaves], minlength=net.n) == 1
         bridge = here[leaves & alone[u] & (u != t)]
         bridge = bridge[net.free[bridge]]
-        out[bridge] += net.v[t] * under[net.src[bridge]]
-    return out
+        self.bridge = np.full(net.n, -1)
+        self.bridge[net.src[bridge]] = bridge
+        self.under, self.first, self.size = under, first, size
+        self.ranked = np.array(order, np.int64)[np.argsort(first[order])]
+
+    def add(self, net: Net, out: np.ndarray, sign: int) -> None:
+        u = np.flatnonzero(self.bridge >= 0)
+        out[self.bridge[u]] += sign * net.v[self.t] * self.under[u]
+
+
+class Gains:
+    """The exact drop in risk of every edge if it alone is removed (total), kept up as edges are removed.
+
+    total is 0 for edges that are gone or can't be removed. A removal touches a target only if the edge is on a way
+    to it. If the edge is the only way out of a subtree, and no edge leads into the subtree from elsewhere, the rest
+    of the target's tree stays as it is and only loses that weight; else the tree is found anew. Up to CELLS cells of
+    trees are kept; further targets' trees are found anew each time.
+    """
+
+    CELLS = 20_000_000
+
+    def __init__(self, net: Net, there: np.ndarray | None = None):
+        self.net = net
+        self.there = net.whole() if there is None else there.copy()
+        self.total = np.zeros(net.m)
+        self.into = backward(net, net.whole())
+        lit = forward(net, self.there).swept(net.entries())
+        self.targets = [int(t) for t in net.targets() if lit[t]]
+        kept = max(1, self.CELLS // max(1, net.n))
+        self.kept: dict[int, _Tree] = {}
+        self.rest = self.targets[kept:]
+        for t in self.targets[:kept]:
+            self.kept[t] = self._grown(t)
+            self.kept[t].add(net, self.total, 1)
+        self.beyond = self._beyond()
+        self.total += self.beyond
+
+    def _edges(self) -> np.ndarray:
+        lit = forward(self.net, self.there).swept(self.net.entries())
+        return np.flatnonzero(self.there & lit[self.net.src] & lit[self.net.dst])
+
+    def _grown(self, t: int) -> _Tree:
+        return _Tree(self.net, t, self._edges())
+
+    def _beyond(self) -> np.ndarray:
+        out = np.zeros(self.net.m)
+        for t in self.rest:
+            self._grown(t).add(self.net, out, 1)
+        return out
+
+    def remove(self, edges) -> None:
+        for e in np.asarray(edges, np.int64).tolist():
+            self.there[e] = False
+            for t, tree in self.kept.items():
+                u, x = self.net.src[e], self.net.dst[e]
+                if u == t or not (tree.alive[u] and tree.alive[x]):
+                    continue
+                if tree.bridge[u] == e and self._pruned(tree, int(u)):
+                    continue
+                tree.add(self.net, self.total, -1)
+                self.kept[t] = self._grown(t)
+                self.kept[t].add(self.net, self.total, 1)
+        if self.rest:
+            self.total -= self.beyond
+            self.beyond = self._beyond()
+            self.total += self.beyond
+        self.total[~self.there] = 0.0
+
+    def _pruned(self, tree: _Tree, u: int) -> bool:
+        """Takes u's subtree out of tree, if no edge leads into it from elsewhere; else False, and nothing is changed."""
+        nodes = tree.ranked[tree.first[u] : tree.first[u] + tree.size[u]]
+        nodes = nodes[tree.alive[nodes]]
+        at, n = self.into.at[nodes], self.into.at[nodes + 1] - self.into.at[nodes]
+        picks = np.repeat(at - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        tails = self.into.next[picks]
+        outside = tree.alive[tails] & ((tree.first[tails] < tree.first[u]) | (tree.first[tails] >= tree.first[u] + tree.size[u]))
+        if (outside & self.there[self.into.edge[picks]]).any():
+            return False
+        value, lost = self.net.v[tree.t], tree.under[u]
+        gone = nodes[tree.bridge[nodes] >= 0]
+        self.total[tree.bridge[gone]] -= value * tree.under[gone]
+        tree.bridge[nodes], tree.under[nodes], tree.alive[nodes] = -1, 0.0, False
+        above = int(tree.idom[u])
+        while above != tree.t:
+            tree.under[above] -= lost
+            if tree.bridge[above] >= 0:
+                self.total[tree.bridge[above]] -= value * lost
+            above = int(tree.idom[above])
+        return True
+
+
+def gains(net: Net, there: np.ndarray | None = None) -> np.ndarray:
+    """The exact drop in risk of every edge if it alone is removed; 0 for edges that are gone or can't be."""
+    return Gains(net, there).total
 
 
 # ---------------------------------------------------------------- cuts
@@ -195,18 +282,15 @@ def gains(net: Net, there: np.ndarray | None = None) -> np.ndarray:
 class _Flow:
     """Maximum flow by level graphs and blocking flows (Dinic), without recursion. Capacities are Python integers."""
 
-    def __init__(self, n: int):
-        self.out: list[list[int]] = [[] for _ in range(n)]
-        self.to: list[int] = []
-        self.room: list[int] = []
-
-    def add(self, a: int, b: int, room: int) -> None:
-        self.out[a].append(len(self.to))
-        self.to.append(b)
-        self.room.append(room)
-        self.out[b].append(len(self.to))
-        self.to.append(a)
-        self.room.append(0)
+    def __init__(self, n: int, tail: np.ndarray, head: np.ndarray, room: np.ndarray):
+        """Arcs tail -> head with room; arc 2 i is the i-th, arc 2 i + 1 the way back."""
+        ends = np.stack([tail, head], 1).ravel()
+        order = np.argsort(ends, kind="stable")
+        at = np.searchsorted(ends[order], np.arange(n + 1)).tolist()
+        arcs = order.tolist()
+        self.out: list[list[int]] = [arcs[at[u] : at[u + 1]] for u in range(n)]
+        self.to: list[int] = np.stack([head, tail], 1).ravel().tolist()
+        self.room: list[int] = np.stack([room, np.zeros_like(room)], 1).ravel().tolist()
 
     def levels(self, source: int) -> list[int]:
         level = [-1] * len(self.out)
@@ -276,13 +360,10 @@ def min_cut(net: Net, sources, sinks, there: np.ndarray | None = None) -> tuple[
     lit = forward(net, there).swept(sources) & backward(net, there).swept(sinks)
     edges = np.flatnonzero(there & lit[net.src] & lit[net.dst])
     endless = int(net.cost[net.free].sum()) + 1
-    flow = _Flow(net.n + 2)
-    for e in edges.tolist():
-        flow.add(int(net.src[e]), int(net.dst[e]), int(net.cost[e]) if net.free[e] else endless)
-    for s in sources.tolist():
-        flow.add(net.n, s, endless)
-    for t in sinks.tolist():
-        flow.add(t, net.n + 1, endless)
+    tail = np.concatenate([net.src[edges], np.full(len(sources), net.n), sinks])
+    head = np.concatenate([net.dst[edges], sources, np.full(len(sinks), net.n + 1)])
+    room = np.concatenate([np.where(net.free[edges], net.cost[edges], endless), np.full(len(sources) + len(sinks), endless)])
+    flow = _Flow(net.n + 2, tail, head, room)
     value = flow.run(net.n, net.n + 1)
     near = np.array(flow.levels(net.n)[: net.n]) >= 0
     return value, edges[near[net.src[edges]] & ~near[net.dst[edges]]], sources

@@ -58,6 +58,20 @@ def test_gains(seed):
         assert got[e] == pytest.approx(now - k.risk(net, after))
 
 
+@pytest.mark.parametrize("cells", [k.Gains.CELLS, 1])
+@pytest.mark.parametrize("seed", range(40))
+def test_gains_kept_up(seed, cells, monkeypatch):
+    """Edges gone one by one, or some at once: what is kept up is what is found anew, also where only one tree is kept."""
+    monkeypatch.setattr(k.Gains, "CELLS", cells)
+    net = make(seed, n=14, p=0.12 + 0.01 * (seed % 15), n_targets=3, most_free=60)
+    rng = np.random.default_rng(seed)
+    kept, left = k.Gains(net), rng.permutation(np.flatnonzero(net.free)).tolist()
+    while left:
+        some = [left.pop() for _ in range(min(len(left), int(rng.integers(1, 4))))]
+        kept.remove(some)
+        assert kept.total == pytest.approx(k.gains(net, kept.there))
+
+
 @pytest.mark.parametrize("seed", range(40))
 def test_global_cut(seed):
     net = make(seed, most_free=10)
