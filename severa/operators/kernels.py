@@ -346,27 +346,36 @@ def min_cut(net: Net, sources, sinks, there: np.ndarray | None = None) -> tuple[
     edges are those that leave what the residual graph reaches from the sources: the cut nearest to the sources,
     the same for every maximum flow. No source that counts: value 0 and no edges.
     """
+    return cut_on(net, sources, sinks, there)[:3]
+
+
+def cut_on(net: Net, sources, sinks, there: np.ndarray | None = None) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """min_cut, and the edges on ways from sources that count to sinks: as long as these are there and no source is
+    added or lost, the cut is the same."""
     there = net.whole() if there is None else there
     sinks = np.asarray(sinks, np.int64)
     none = np.zeros(0, np.int64)
     if not len(sinks):
-        return 0, none, none
+        return 0, none, none, none
     lost = backward(net, there & ~net.free).swept(sinks)
     sources = np.asarray(sources, np.int64)
     sources = sources[~lost[sources]]
     if not len(sources):
-        return 0, none, none
+        return 0, none, none, none
     # only what lies on a way matters
     lit = forward(net, there).swept(sources) & backward(net, there).swept(sinks)
     edges = np.flatnonzero(there & lit[net.src] & lit[net.dst])
     endless = int(net.cost[net.free].sum()) + 1
-    tail = np.concatenate([net.src[edges], np.full(len(sources), net.n), sinks])
-    head = np.concatenate([net.dst[edges], sources, np.full(len(sinks), net.n + 1)])
-    room = np.concatenate([np.where(net.free[edges], net.cost[edges], endless), np.full(len(sources) + len(sinks), endless)])
-    flow = _Flow(net.n + 2, tail, head, room)
-    value = flow.run(net.n, net.n + 1)
-    near = np.array(flow.levels(net.n)[: net.n]) >= 0
-    return value, edges[near[net.src[edges]] & ~near[net.dst[edges]]], sources
+    kept = np.flatnonzero(lit)
+    n, new = len(kept), np.cumsum(lit) - 1
+    src, dst, starts, ends = new[net.src[edges]], new[net.dst[edges]], new[sources[lit[sources]]], new[sinks[lit[sinks]]]
+    tail = np.concatenate([src, np.full(len(starts), n), ends])
+    head = np.concatenate([dst, starts, np.full(len(ends), n + 1)])
+    room = np.concatenate([np.where(net.free[edges], net.cost[edges], endless), np.full(len(starts) + len(ends), endless)])
+    flow = _Flow(n + 2, tail, head, room)
+    value = flow.run(n, n + 1)
+    near = np.array(flow.levels(n)[:n], np.int64) >= 0
+    return value, edges[near[src] & ~near[dst]], sources, edges
 
 
 def global_cut(net: Net, there: np.ndarray | None = None) -> tuple[int, np.ndarray, np.ndarray]:

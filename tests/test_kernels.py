@@ -129,6 +129,30 @@ def test_search_limits():
     assert k.exact(net, 6)[1] == "optimal"
 
 
+@pytest.mark.parametrize("seed", range(30))
+def test_hubs_as_edges_go(seed):
+    """What is kept of hubs while edges go gives the hubs that are found anew, by plain sweeps."""
+    net = make(seed, n=16, p=0.15, n_entries=4, n_targets=2, most_free=60)
+    ahead, there = st.Ahead(net), net.whole()
+    for e in np.random.default_rng(seed).permutation(np.flatnonzero(net.free)):
+        reach = k.reached_by(net, there)
+        score = {h: sum(net.w[s] for s in net.entries() if k.forward(net, there).swept([s])[h]) * sum(net.v[t] for t in reach if reach[t][h]) for h in range(net.n) if net.w[h] <= 0 and net.v[h] <= 0}
+        best = sorted((h for h in score if score[h] > 0), key=lambda h: (-score[h], h))[:5]
+        assert [h for h, _ in ahead.hubs(there, reach, 5)] == best
+        there[e] = False
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_trimmed(seed):
+    net = make(seed, n=14, p=0.2, n_entries=4, n_targets=3, most_free=60)
+    there = ~(net.free & (np.random.default_rng(seed).random(net.m) < 0.7))
+    want, now = there.copy(), k.risk(net, there)
+    for e in sorted(np.flatnonzero(~there).tolist(), key=lambda e: (-net.cost[e], e)):
+        want[e] = True
+        want[e] = k.risk(net, want) <= now + 1e-9
+    assert (st._trimmed(net, there) == want).all()
+
+
 def test_without_hubs_only_single_edges_are_offered():
     net = k.Net.of(4, [0, 0, 1, 2], [1, 2, 3, 3], [0, 0, 1, 1], [False, False, True, True], [1, 0, 0, 0], [0, 0, 0, 7])
     assert k.risk(net, st.STRATEGIES["D-nohub"](net, 2)[0]) in (0, 7)
