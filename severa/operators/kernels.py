@@ -65,12 +65,16 @@ class Adjacency:
         seen = np.zeros(len(self.at) - 1, bool)
         seen[starts] = True
         front = np.flatnonzero(seen)
+        mark = np.empty(len(seen), np.int64)
         while len(front):
             lo, n = self.at[front], self.at[front + 1] - self.at[front]
-            picks = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            met = np.unique(self.next[picks])
-            front = met[~seen[met]]
-            seen[front] = True
+            ends = np.cumsum(n)
+            met = self.next[np.repeat(lo - ends + n, n) + np.arange(ends[-1])]
+            met = met[~seen[met]]
+            seen[met] = True
+            turn = np.arange(len(met))
+            mark[met] = turn  # of a node that was met several times the last one stays
+            front = met[mark[met] == turn]
         return seen
 
 
