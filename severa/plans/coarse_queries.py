@@ -27,7 +27,7 @@ def query(statement: str):
     return keep
 
 
-def instance(spark, d) -> inst.Instance:
+def instance(spark, d, entries=None) -> inst.Instance:
     line, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
     name = lambda p, c: F.concat(F.lit(p), F.col(c))
     pairs = line.join(orders, line["l_orderkey"] == orders["o_orderkey"]).groupBy("o_orderstatus", "l_returnflag").agg(F.count("*").alias("n"))
@@ -37,6 +37,7 @@ def instance(spark, d) -> inst.Instance:
     b = b.select(name("f", "l_returnflag"), name("t", "l_linestatus"), F.when(~fixed, 1 + F.col("n") % 7), ~fixed)
     edges = written(inst.merged(a.union(b)), "coarse")
     e = orders.groupBy("o_orderstatus").agg((1 + F.count("*") % 5).cast("double").alias("w")).select(name("s", "o_orderstatus").alias("node"), F.col("w").alias("entry_weight"), F.lit(0.0).alias("target_value"))
+    e = e if entries is None else e.where(F.col("node").isin(entries))
     t = line.select("l_linestatus").distinct().select(name("t", "l_linestatus"), F.lit(0.0), F.when(F.col("l_linestatus") == "F", 10.0).otherwise(5.0))
     return inst.Instance(inst.all_nodes(edges, e.union(t)), edges, "coarse_s1")
 
@@ -121,6 +122,48 @@ def alg_c_exact(spark, d):
 ABLATIONS = ("D", "D-noreduce", "D-nohub", "D-noLP", "D-noLS", "D-ratio")
 
 
+ONE_ENTRY = REMOVALS.replace("FROM orders GROUP BY o_orderstatus),\ntgt", "FROM orders GROUP BY o_orderstatus HAVING o_orderstatus = 'P'),\ntgt")
+
+
+@query(ONE_ENTRY + " SELECT budget_frac, budget, optimum AS risk, 'optimal' AS status FROM b JOIN best USING (budget_frac)")
+def alg_f_subsets_of_one_entry(spark, d):
+    """One entry: the sets of targets that the budget reaches."""
+    rows = written(runs.packed(inst.indexed(instance(spark, d, ["sP"])), "coarse_s1"), "packed")
+    return runs.run(rows, ("F",), FRACTIONS, bound=False).select("budget_frac", "budget", "risk", "status")
+
+
+#: A region is cut off as a whole, or any of its nations are: the best gain by cost, region by region.
+TREE = """
+WITH RECURSIVE nat AS MATERIALIZED (
+  SELECT n_nationkey AS n, n_regionkey AS r, 1 + (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) % 5 AS cost, (1 + (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) % 7)::DOUBLE AS v FROM nation),
+reg AS MATERIALIZED (SELECT r, 3 + sum(cost) % 7 AS cost, sum(v) AS v, sum(cost) AS all_cost, row_number() OVER (ORDER BY r) AS k FROM nat GROUP BY r),
+sub(r, n, cost, gain) AS (
+  SELECT r, -1, 0::HUGEINT, 0.0::DOUBLE FROM reg
+  UNION ALL SELECT s.r, nat.n, s.cost + nat.cost, s.gain + nat.v FROM sub s JOIN nat ON nat.r = s.r AND nat.n > s.n),
+options AS MATERIALIZED (SELECT r, cost, max(gain) AS gain FROM (SELECT r, cost, gain FROM sub UNION ALL SELECT r, cost, v FROM reg) GROUP BY r, cost),
+lam AS (SELECT sum(least(cost, all_cost)) AS lam, sum(v) AS risk0 FROM reg),
+b AS MATERIALIZED (SELECT frac AS budget_frac, CAST(greatest(1, floor(frac * lam)) AS BIGINT) AS budget, risk0 FROM lam, (SELECT unnest([0.25, 0.5, 0.75, 1.0])::DOUBLE AS frac)),
+spent(k, cost, gain) AS (
+  SELECT 0::BIGINT, 0::HUGEINT, 0.0::DOUBLE
+  UNION ALL SELECT reg.k, s.cost + o.cost, max(s.gain + o.gain) FROM spent s JOIN reg ON reg.k = s.k + 1 JOIN options o ON o.r = reg.r GROUP BY reg.k, s.cost + o.cost)
+SELECT budget_frac, budget, risk0 - max(gain) AS risk, 'optimal' AS status FROM b JOIN spent ON cost <= budget WHERE k = (SELECT count(*) FROM reg) GROUP BY budget_frac, budget, risk0"""
+
+
+@query(TREE)
+def alg_e_tree(spark, d):
+    """One entry -> regions -> nations, the targets: a tree."""
+    count = lambda t, by, base: F.coalesce(F.col(t), F.lit(0)) % by + base
+    many = lambda t, c: table(spark, d, t).groupBy(F.col(c).alias("n_nationkey")).agg(F.count("*").alias(t))
+    nat = table(spark, d, "nation").join(many("supplier", "s_nationkey"), "n_nationkey", "left").join(many("customer", "c_nationkey"), "n_nationkey", "left")
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    nat = written(nat.select(name("n", "n_nationkey").alias("n"), name("r", "n_regionkey").alias("r"), count("supplier", 5, 1).alias("cost"), count("customer", 7, 1).cast("double").alias("v")), "nations")
+    edges = nat.groupBy("r").agg((F.sum("cost") % 7 + 3).alias("cost")).select(F.lit("root").alias("src"), F.col("r").alias("dst"), "cost", F.lit(True).alias("deletable"))
+    edges = written(inst.merged(edges.union(nat.select("r", "n", "cost", F.lit(True)))), "tree")
+    ends = spark.createDataFrame([("root", 1.0, 0.0)], "node string, entry_weight double, target_value double").union(nat.select("n", F.lit(0.0), "v"))
+    rows = written(runs.packed(inst.indexed(inst.Instance(inst.all_nodes(edges, ends), edges, "tree_s1")), "tree_s1"), "packed")
+    return runs.run(rows, ("E",), FRACTIONS, bound=False).select("budget_frac", "budget", "risk", "status")
+
+
 @query(REMOVALS + f" SELECT alg, budget_frac, budget, optimum, true AS holds FROM b JOIN best USING (budget_frac), (SELECT unnest({list(ABLATIONS)!r}) AS alg)")
 def alg_d_gr17_ablations(spark, d):
     """Hub-cut and its ablations keep to the budget and stay between the optimum, found by C, and the risk without removals."""

@@ -195,3 +195,41 @@ def test_two_routes_have_no_gain_alone():
     assert (k.gains(net) == 0).all()
     assert st.greedy(net, 2).all()
     assert k.risk(net, st.hub_cut(net, 2)[0]) == 0
+
+
+def grown_tree(seed, inward):
+    rng = np.random.default_rng(seed)
+    n = 11
+    up = [int(rng.integers(0, i)) for i in range(1, n)]
+    a, b = (np.arange(1, n), np.array(up)) if inward else (np.array(up), np.arange(1, n))
+    root, many = np.zeros(n), np.zeros(n)
+    root[0], many[:] = 2.0, rng.integers(0, 4, n)
+    return k.Net.of(n, a, b, rng.integers(1, 5, n - 1), rng.random(n - 1) < 0.8, *((many, root) if inward else (root, many)))
+
+
+@pytest.mark.parametrize("seed", range(20))
+@pytest.mark.parametrize("inward", [False, True])
+@pytest.mark.parametrize("budget", [0, 1, 4, 100])
+def test_tree(seed, inward, budget):
+    net = grown_tree(seed, inward)
+    there, notes = st.tree(net, budget)
+    assert notes["status"] == "optimal" and net.spent(there) <= budget
+    assert k.risk(net, there) == pytest.approx(optimum(net, budget))
+
+
+@pytest.mark.parametrize("seed", range(25))
+@pytest.mark.parametrize("budget", [0, 2, 5, 100])
+def test_subsets(seed, budget):
+    net = make(seed, n_entries=1, n_targets=4)
+    there, notes = st.subsets(net, budget)
+    assert net.spent(there) <= budget
+    if k.risk(net) > 0:
+        assert notes["status"] == "optimal"
+    assert k.risk(net, there) == pytest.approx(optimum(net, budget))
+
+
+def test_tree_and_subsets_that_do_not_apply():
+    net = k.Net.of(4, [0, 0, 1, 2, 3], [1, 2, 3, 3, 0], [1] * 5, [True] * 5, [1, 1, 0, 0], [0, 0, 0, 7])
+    for solve in (st.tree, st.subsets):
+        there, notes = solve(net, 9)
+        assert there.all() and notes["status"] == "not applicable"
