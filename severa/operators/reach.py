@@ -26,14 +26,16 @@ def expand(seed: DataFrame, edges: DataFrame, removed: DataFrame | None = None)
 
     removed (scenario, edge_id) are missing in their scenario. depth is the number of edges of a shortest path. Each
     round is a join of the last frontier with the edges, a distinct and an anti-join with what is known; it is written,
-    so a lost executor costs a round at most. It ends with an empty frontier, after as many rounds as it takes.
+    so a lost executor costs a round at most. It ends with an empty frontier, after as many rounds as it takes. Edges
+    that have a scenario or a target are there for that one alone.
     """
     keys = ["scenario", "target", "node"]
     frontier = written(seed.select(*keys).distinct().withColumn("depth", F.lit(0)), "frontier")
     pieces = [frontier]
-    e = edges.select(F.col("src").alias("node"), F.col("dst").alias("_next"), "edge_id")
+    own = [c for c in keys[:2] if c in edges.columns]
+    e = edges.select(F.col("src").alias("node"), F.col("dst").alias("_next"), "edge_id", *own)
     for depth in count(1):
-        step = frontier.select(*keys).join(e, "node")
+        step = frontier.select(*keys).join(e, ["node", *own])
         if removed is not None:
             step = step.join(removed.select("scenario", "edge_id"), ["scenario", "edge_id"], "left_anti")
         seen = reduce(DataFrame.union, pieces)
@@ -155,14 +157,29 @@ def relevant(graph: Indexed) -> DataFrame:
 def scenario_gains(graph: Indexed, candidates: DataFrame) -> DataFrame:
     """(edge_id, gain) of candidates (edge_id): the exact drop in risk if that edge alone is removed.
 
-    Every candidate is a scenario of one batch of rounds. It is the independent way to what the dominator kernel
-    computes; its state grows with candidates times nodes, so give it relevant edges only.
+    Every candidate is a scenario of one batch of rounds, and the independent way to what the dominator kernel
+    computes. A scenario's state is what may change in it: with a shortest-path tree to each target, only the nodes
+    whose tree path has the candidate can lose the target. Those of them that have another edge out, to a node that
+    keeps it, keep it too, and so do, round by round, those before them. The state grows with nodes times their
+    distance from a target, not with candidates times nodes.
     """
-    picked = candidates.select(F.col("edge_id").alias("scenario")).distinct()
-    removed = picked.select("scenario", F.col("scenario").alias("edge_id"))
-    whole = written(risk(graph), "risk").select(F.col("risk").alias("risk0"))
-    after = risk(graph, picked, removed)
-    return after.join(F.broadcast(whole)).select(F.col("scenario").alias("edge_id"), (F.col("risk0") - F.col("risk")).alias("gain"))  # one row
+    picked = written(candidates.select("edge_id").distinct(), "picked")
+    reached = target_reach(graph).select("target", "node", "depth")
+    there = lambda c, depth: reached.select("target", F.col("node").alias(c), F.col("depth").alias(depth))
+    ways = graph.edges.select("edge_id", "src", "dst").join(there("src", "_from"), "src").join(there("dst", "_to"), ["target", "dst"])
+    ways = written(ways.select("target", "edge_id", "src", "dst", (F.col("_to") + 1 == F.col("_from")).alias("_near")), "ways")
+    tree = ways.where("_near").groupBy("target", "src").agg(F.min(F.struct("edge_id", "dst")).alias("up"))
+    tree = written(tree.select("target", F.col("up.dst").alias("src"), F.col("src").alias("dst"), F.col("up.edge_id").alias("edge_id")), "tree")
+    scenario = F.col("edge_id").alias("scenario")
+    unsure = expand(tree.join(picked, "edge_id", "left_semi").select(scenario, "target", F.col("dst").alias("node")), tree).select("scenario", "target", "node")
+    others = unsure.join(ways.withColumnRenamed("src", "node"), ["target", "node"]).where("edge_id <> scenario")
+    also = unsure.select("scenario", "target", F.col("node").alias("dst"), F.lit(True).alias("_unsure"))
+    others = others.join(also, ["scenario", "target", "dst"], "left").select("scenario", "target", F.col("dst").alias("src"), F.col("node").alias("dst"), "edge_id", F.col("_unsure").isNotNull().alias("_unsure"))
+    others = written(others, "others")
+    keeping = expand(others.where("not _unsure").select("scenario", "target", F.col("dst").alias("node")), others.where("_unsure"))
+    lost = unsure.join(keeping, ["scenario", "target", "node"], "left_anti").withColumn("depth", F.lit(0))
+    gain = pairs(graph, lost).groupBy(F.col("scenario").alias("edge_id")).agg(F.sum(F.col("weight") * F.col("value")).alias("gain"))
+    return picked.join(gain, "edge_id", "left").select("edge_id", F.coalesce("gain", F.lit(0.0)).alias("gain"))
 
 
 def hub_scores(graph: Indexed, most: int = 10) -> DataFrame:

@@ -91,3 +91,15 @@ def test_command_line(spark, tmp_path):
     assert spark.read.option("header", True).csv(f"file://{tmp_path}/summary.csv").count() == 3
     lines = [r.value for r in spark.read.text(f"file://{tmp_path}/summary.md").collect()]
     assert len(lines) == 3 and all(x.startswith("| 0.5 | ") for x in lines)
+
+
+@pytest.mark.parametrize("seed", [2, 4])
+def test_gains_of_scenarios_keep_what_may_change(spark, monkeypatch, seed):
+    """With cycles too; the state has rows of nodes below a candidate, not candidates times nodes."""
+    net = make(seed, n=12, p=0.3, most_free=40)
+    g, sizes, plain = frames(spark, net), [], reach.expand
+    monkeypatch.setattr(reach, "expand", lambda *a: [sizes.append((out := plain(*a)).count()), out][1])
+    got = {r.edge_id: r.gain for r in reach.scenario_gains(g, g.edges.where("deletable")).collect()}
+    want = kernels.gains(net)
+    assert got == pytest.approx({e: float(want[e]) for e in np.flatnonzero(net.free).tolist()})
+    assert max(sizes[1:]) < int(net.free.sum()) * sizes[0] / 2
