@@ -81,16 +81,22 @@ def gains(packed_rows: DataFrame) -> DataFrame:
 
 def cuts(packed_rows: DataFrame, problems: DataFrame) -> DataFrame:
     """(instance, problem, value, edges, sources) of min-cut problems (instance, problem, sources, sinks), a task each."""
-    sent = packed_rows.join(problems, "instance")
-
-    def one(key, rows: pd.DataFrame) -> pd.DataFrame:
-        net, ids = _net(rows)
-        nodes = rows[rows.kind == "n"].sort_values("id").id.to_numpy(np.int64)
-        at = lambda c: np.searchsorted(nodes, np.asarray(rows[c].iloc[0], np.int64))
-        value, cut, used = kernels.min_cut(net, at("sources"), at("sinks"))
-        return pd.DataFrame({"instance": [key[0]], "problem": [key[1]], "value": [value], "edges": [np.sort(ids[cut]).tolist()], "counted": [nodes[used].tolist()]})
-
-    return sent.groupBy("instance", "problem").applyInPandas(one, "instance string, problem string, value long, edges array<long>, counted array<long>")
+    # an instance's rows are sent once per problem, the ends of a problem once, beside them
+    keys = ["instance", "problem"]
+    sent = packed_rows.join(problems.select(*keys), "instance")
+
+    def one(key, rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        told = {c: [] for c in ("instance", "problem", "value", "edges", "counted")}
+        if len(rows):
+            net, ids = _net(rows)
+            nodes = rows[rows.kind == "n"].sort_values("id").id.to_numpy(np.int64)
+            at = lambda c: np.searchsorted(nodes, np.asarray(asked[c].iloc[0], np.int64))
+            value, cut, used = kernels.min_cut(net, at("sources"), at("sinks"))
+            told = {"instance": [key[0]], "problem": [key[1]], "value": [value], "edges": [np.sort(ids[cut]).tolist()], "counted": [nodes[used].tolist()]}
+        return pd.DataFrame(told)
+
+    ends = problems.select(*[F.col(c).alias(f"_{c}") for c in keys], "sources", "sinks")
+    return sent.groupBy(*keys).cogroup(ends.groupBy(*[f"_{c}" for c in keys])).applyInPandas(one, "instance string, problem string, value long, edges array<long>, counted array<long>")
 
 
 def global_cuts(packed_rows: DataFrame) -> DataFrame:

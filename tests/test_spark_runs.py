@@ -93,6 +93,16 @@ def test_command_line(spark, tmp_path):
     assert len(lines) == 3 and all(x.startswith("| 0.5 | ") for x in lines)
 
 
+def test_ends_of_cuts_stand_beside_rows(spark):
+    """No row of the graph has the lists of sources and sinks, which are as long as the graph has entries and targets."""
+    found = runs.global_cuts(runs.packed(frames(spark, make(8)), "x"))
+    plan = found._jdf.queryExecution().optimizedPlan()
+    joins = [line for line in plan.toString().splitlines() if "Join" in line]
+    assert "FlatMapCoGroups" in plan.toString() and joins and "sources" not in "".join(joins)
+    value, _, _ = kernels.global_cut(make(8))
+    assert found.first().value == value
+
+
 @pytest.mark.parametrize("seed", [2, 4])
 def test_gains_of_scenarios_keep_what_may_change(spark, monkeypatch, seed):
     """With cycles too; the state has rows of nodes below a candidate, not candidates times nodes."""
